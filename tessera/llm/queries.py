@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, simhash, toxicity
-from tessera.llm.common import id_remainder, read_table
+from tessera.llm import bpe, chat, host_quality, language, mixing, simhash, toxicity
+from tessera.llm.common import id_remainder, materialize, read_table
 
 TOXICITY_FOLDS, TOXICITY_HELD_OUT = 5, 0
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
@@ -24,10 +24,43 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+#: The extra conversation of op3: control strings inside its texts.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role").union(spark.sql("SELECT -7L, 1L, 'assistant'"))
+    turns = chat.conversations_as_trees(rows.unionByName(extra.withColumn("text", F.lit(CONTROL_TEXT))))
+    turns = materialize(turns, "conversations")
+    formatted = chat.format_paths(turns, chat.reply_paths(turns.select("tree", "node", "parent", "score")))
+    back = chat.read_back(materialize(formatted, "formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_quality.judge(docs).select("doc_id", *host_quality.RULES, "base_failed", "kept")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder(F.col("doc_id"), LANGUAGE_FOLDS) == LANGUAGE_HELD_OUT
@@ -44,9 +77,85 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
+    "op5_host_rules": op5_host_rules,
+    "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
+
+
+def _escaped(column: str) -> str:
+    return rf"replace(replace(replace(coalesce({column}, ''), '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')"
+
+
+OP3_SQL = rf"""
+WITH rows AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, rows.role NULLS FIRST, rows.text NULLS FIRST) AS node,
+        14 + length(replace({_escaped('rows.role')}, ':', '\:')) + length({_escaped('rows.text')}) AS chars
+    FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY node)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY node) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+OP5_SQL = rf"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+wins AS (
+    SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM base WHERE len(ws) >= 5),
+keyed AS (SELECT r, i, ws[i:i+4] AS k FROM wins),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM keyed) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM base),
+counts AS (
+    SELECT base.r, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    FROM base JOIN lines USING (r) LEFT JOIN rep USING (r)),
+failed AS (
+    SELECT *, n_words < {host_quality.LEAST_WORDS} OR 100 * n_repeat_words > {host_quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*) AS n, sum(base_failed::BIGINT)::BIGINT AS k FROM failed GROUP BY source),
+prior AS (
+    SELECT sum(k) / sum(n) AS m, sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS v FROM hosts),
+weighed AS (
+    SELECT m, CASE WHEN v > 1e-12 THEN least({host_quality.PRIOR_WEIGHT[1]}, greatest({host_quality.PRIOR_WEIGHT[0]}, m * (1 - m) / v - 1))
+        ELSE {host_quality.PRIOR_WEIGHT[1]} END AS s FROM prior),
+verdicts AS (SELECT source, (k + m * s) / (n + s) <= {host_quality.MOST_HOST_FAILURES} AS host_kept FROM hosts, weighed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+OP6_SQL = rf"""
+WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, [{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM per),
+levels AS (
+    SELECT *, source_size * {mixing.MAX_REPEAT} / weight AS ful,
+        (sum(source_size) OVER () - coalesce(sum(source_size * {mixing.MAX_REPEAT}) OVER before, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS lvl
+    FROM weighed WINDOW before AS (
+        ORDER BY source_size * {mixing.MAX_REPEAT} / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT (SELECT lvl FROM levels WHERE lvl <= ful ORDER BY ful, lvl LIMIT 1) AS lvl),
+targets AS (
+    SELECT source, source_size, least((source_size * {mixing.MAX_REPEAT})::DOUBLE,
+        coalesce(water.lvl * weight, (source_size * {mixing.MAX_REPEAT})::DOUBLE)) AS target FROM levels, water),
+rated AS (
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+        ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(16**13)} AS draw
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op5_host_rules": OP5_SQL, "op6_mixing": OP6_SQL}
