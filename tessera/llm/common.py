@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,7 @@ from pyspark.sql import types as T
 #: Documents handed to a Python operator at a time: bounds a worker's memory when texts are long.
 SLICE_ROWS = 256
 
-#: Word separators of the contracts: space and the five ASCII control separators.
-SEPARATORS = " \t\n\x0b\x0c\r"
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -54,7 +54,15 @@ def map_batches(
     fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
 ) -> DataFrame:
-    """``mapInArrow`` under one name, so that call sites read alike."""
+    """``mapInArrow`` whose workers find this package where the driver found it.
+
+    That matters where workers share the driver's files but not its ``sys.path``; on a cluster the package
+    is installed or shipped, and the extra entry names nothing.
+    """
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
     return df.mapInArrow(fn, schema)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, host_quality, language, mixing, simhash, toxicity
+from tessera.llm import bpe, chat, host_quality, language, mixing, simhash, toxicity, vector_dedup
 from tessera.llm.common import id_remainder, materialize, read_table
 
 TOXICITY_FOLDS, TOXICITY_HELD_OUT = 5, 0
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 #: The extra conversation of op3: control strings inside its texts.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -77,6 +81,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_vectors": op2_vectors,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_host_rules": op5_host_rules,
