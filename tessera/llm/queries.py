@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, host_quality, language, mixing, simhash, toxicity, vector_dedup
+from tessera.llm import bpe, chat, host_quality, language, licences, mixing, revisits, simhash, toxicity, vector_dedup
 from tessera.llm.common import id_remainder, materialize, read_table
 
 TOXICITY_FOLDS, TOXICITY_HELD_OUT = 5, 0
@@ -79,6 +79,48 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("licences", lambda s: F.concat_ws(":", s["licence"], s["start"], s["end"]))
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join(spans, ";").alias("spans"))
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Web archive records for ``pages``, which hold no revisits of their own.
+
+    Page p is a full response at time 10 p, with the MD5 of its HTML as entity tag. A revisit of its URL
+    is recorded 15 before that for even pages and 5 after it for odd ones; by p modulo 5 its entity tag is
+    weak and right (0, 1), another one (2), replaced by Last-Modified (3), or missing (4).
+    """
+    kind = F.col("page_id") % 5
+    late = F.col("page_id") % 2 == 1
+    day = F.concat(F.lit("day "), (F.col("page_id") % 7).cast("string"))
+    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    none = F.lit(None).cast("string")
+    full = {"Content-Type": F.lit("text/html"), "ETag": tag, "Last-Modified": day, "Cache-Control": F.lit("max-age=60")}
+    again = {
+        "ETag": F.when(kind <= 1, F.concat(F.lit("W/"), tag)).when(kind == 2, F.lit('"other"')),
+        "Last-Modified": F.when(kind == 3, day).otherwise(none),
+        "Cache-Control": F.concat(F.lit("max-age="), F.col("page_id").cast("string")),
+        "Content-Length": F.lit("0"),
+    }
+
+    def headers(of: dict[str, Column]) -> Column:
+        return F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+
+    first = pages.select((F.col("page_id") * 2).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit(200).alias("status"), headers(full).alias("headers"))
+    at = F.col("page_id") * 10 + F.when(late, 5).otherwise(-15)
+    second = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", at.alias("ts"), F.lit(304).alias("status"), headers(again).alias("headers"))
+    return first.unionByName(second)
+
+
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = revisits.resolve(page_captures(pages))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("record_id", "target_id", "verdict", F.array_join(lines, ";").alias("headers"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_vectors": op2_vectors,
@@ -88,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
+    "op9_licences": op9_licences,
+    "op10_revisits": op10_revisits,
 }
 
 
@@ -163,4 +207,32 @@ rated AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op5_host_rules": OP5_SQL, "op6_mixing": OP6_SQL}
+OP10_SQL = r"""
+WITH canon AS (
+    SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
+        || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url
+    FROM pages),
+recs AS (
+    SELECT page_id, url, page_id * 2 AS record_id, page_id * 10 AS ts, 200 AS status, '"' || md5(coalesce(html, '')) || '"' AS etag,
+        'day ' || (page_id % 7) AS modified, NULL::BIGINT AS kind FROM canon
+    UNION ALL
+    SELECT page_id, url, page_id * 2 + 1, page_id * 10 + CASE WHEN page_id % 2 = 1 THEN 5 ELSE -15 END, 304,
+        CASE WHEN page_id % 5 <= 1 THEN 'W/"' || md5(coalesce(html, '')) || '"' WHEN page_id % 5 = 2 THEN '"other"' END,
+        CASE WHEN page_id % 5 = 3 THEN 'day ' || (page_id % 7) END, page_id % 5 FROM canon),
+joined AS (
+    SELECT *, last_value(CASE WHEN status = 200 THEN {'id': record_id, 'etag': etag, 'modified': modified} END IGNORE NULLS) OVER (
+        PARTITION BY url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM recs),
+judged AS (
+    SELECT *, CASE WHEN t IS NULL OR url IS NULL THEN 'no_response' WHEN etag IS NULL AND modified IS NULL THEN 'unverified'
+        WHEN CASE WHEN etag IS NOT NULL THEN replace(etag, 'W/', '') = t.etag ELSE modified = t.modified END THEN 'resolved'
+        ELSE 'mismatch' END AS verdict
+    FROM joined WHERE status = 304)
+SELECT record_id, CASE WHEN url IS NOT NULL THEN t.id END AS target_id, verdict,
+    'cache-control=max-age=' || page_id || CASE WHEN verdict = 'resolved'
+        THEN ';content-type=text/html;etag=' || coalesce(etag, t.etag) || ';last-modified=' || coalesce(modified, t.modified)
+        ELSE ';content-length=0' || coalesce(';etag=' || etag, '') || coalesce(';last-modified=' || modified, '') END AS headers
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op5_host_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op10_revisits": OP10_SQL}
