@@ -1,69 +1,20 @@
-"""What the training-data operators share: scratch storage, Arrow batch mapping, bounded samples."""
+"""What the training-data operators share: column helpers for Arrow batches, bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents handed to a Python operator at a time: bounds a worker's memory when texts are long.
-SLICE_ROWS = 256
-
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from tessera.scratch import map_batches, materialize
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Only a single-JVM local session may fall back on a folder of this machine; on a cluster the
-    setting has to be there, since executors and driver share no local disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.TemporaryDirectory(prefix="tessera-")
-    atexit.register(folder.cleanup)
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder.name}")
-    return f"file://{folder.name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the scratch folder and read it back.
-
-    This cuts the lineage like a checkpoint: a lost executor costs a re-read of shared files, not a
-    recomputation. Being Parquet, it also keeps column pruning and gives the planner a known size.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["id_remainder", "map_batches", "materialize", "read_table", "replace_columns", "replaced_schema", "sample_per_class", "slices", "words_column"]
 
-
-def map_batches(
-    df: DataFrame,
-    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: T.StructType | str,
-) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it.
-
-    That matters where workers share the driver's files but not its ``sys.path``; on a cluster the package
-    is installed or shipped, and the extra entry names nothing.
-    """
-    env = df.sparkSession.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
-    return df.mapInArrow(fn, schema)
+#: Documents handed to a Python operator at a time: bounds a worker's memory when texts are long.
+SLICE_ROWS = 256
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -105,8 +56,6 @@ def sample_per_class(df: DataFrame, id_col: str, class_col: str, bound: int) ->
         limit = min(1.0, 2.0 * bound / max(n, 1))
         share = F.when(F.col(class_col).eqNullSafe(F.lit(value)), F.lit(limit)).otherwise(share)
     thin = df.withColumn("_key", key).filter(F.col("_key").cast("double") <= (share * 2.0 - 1.0) * wide)
-    from pyspark.sql import Window
-
     order = Window.partitionBy(class_col).orderBy("_key", id_col)
     return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= bound).drop("_rank", "_key")
 
