@@ -273,7 +273,7 @@ def chunk_table(spark: SparkSession, dims: list[int]) -> DataFrame:
     found = grid.chunk_grid(spark, dims, CHUNK2)
     addr = F.col("chunk_id") * 4800 + F.floor(F.col("chunk_id") / 10) * 40000
     return found.select(
-        F.lit("a2").alias("file"), F.lit("").alias("group_path"), F.lit("embedding").alias("name"), "chunk_id", addr.cast("long").alias("addr"), F.lit(4800).cast("long").alias("size"), "offset"
+        F.lit("a2").alias("file"), F.lit(None).cast("string").alias("part"), F.lit("").alias("group_path"), F.lit("embedding").alias("name"), "chunk_id", addr.cast("long").alias("addr"), F.lit(4800).cast("long").alias("size"), "offset"
     )
 
 

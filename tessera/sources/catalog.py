@@ -1,8 +1,8 @@
 """The catalog of arrays: datasets and chunks as DataFrames, which are the contract of every reader.
 
 datasets: file, group_path, name, kind, dsize, byte_order, shape, chunk_shape, dim_sz, chunk_dim_sz,
-scaled_dim_sz, shuffle, gzip, dims, attrs. chunks: file, group_path, name, chunk_id, addr, size, offset.
-The root group is ``''``.
+scaled_dim_sz, shuffle, gzip, dims, attrs. chunks: file, part, group_path, name, chunk_id, addr, size,
+offset. The root group is ``''``. A chunk lies in the file itself, or in its ``part`` where ``file`` is a folder.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ DATASETS = (
     "chunk_shape array<bigint>, dim_sz array<bigint>, chunk_dim_sz array<bigint>, scaled_dim_sz array<bigint>, "
     "shuffle boolean, gzip int, dims array<string>, attrs map<string,string>"
 )
-CHUNKS = "file string, group_path string, name string, chunk_id bigint, addr bigint, size bigint, offset array<bigint>"
+CHUNKS = "file string, part string, group_path string, name string, chunk_id bigint, addr bigint, size bigint, offset array<bigint>"
 
 
 @dataclass
@@ -85,7 +85,7 @@ class Catalog:
             scaled = strides(chunk_counts(spec.shape, spec.chunk_shape))
             for addr, size, offset in sorted(found, key=lambda c: tuple(c[2])):
                 number = sum(o // c * s for o, c, s in zip(offset, spec.chunk_shape, scaled, strict=True))
-                chunks.append((file, normal_path(spec.group_path), spec.name, number, addr, size, list(offset)))
+                chunks.append((file, None, normal_path(spec.group_path), spec.name, number, addr, size, list(offset)))
         return cls(spark.createDataFrame(datasets, DATASETS), spark.createDataFrame(chunks, CHUNKS))
 
     def union(self, other: Catalog) -> Catalog:

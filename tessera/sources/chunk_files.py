@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,14 @@ def write_array(cells: DataFrame, spec: ArraySpec, folder: str, fill: object = 0
 
         def close() -> None:
             nonlocal out, addr
-            uri = rows[0][0] if rows else f"{folder}/{name}-{current}.chunks"
+            part = rows[0][0] if rows else f"{name}-{current}.chunks"
             if out is None:
-                system, path = file_system(uri)
+                system, path = file_system(f"{folder}/{part}")
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(path)
             raw = encode_chunk(block.tobytes(), dtype.size, spec.gzip, spec.shuffle)
             out.write(raw)
-            rows.append((uri, current, addr, len(raw)))
+            rows.append((part, current, addr, len(raw)))
             addr += len(raw)
 
         for batch in batches:
@@ -80,14 +80,16 @@ def write_array(cells: DataFrame, spec: ArraySpec, folder: str, fill: object = 0
             return
         close()
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "chunk_id", "addr", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk_id", "addr", "size"])
 
     dealt = keyed.repartition("chunk_id").sortWithinPartitions("chunk_id")
-    found = map_batches(dealt, encode, "file string, chunk_id long, addr long, size long")
+    found = map_batches(dealt, encode, "part string, chunk_id long, addr long, size long")
     found = materialize(found, "chunks")
     spark = cells.sparkSession
     grid = chunk_grid(spark, spec.shape, spec.chunk_shape).select("chunk_id", "offset")
-    chunks = found.join(grid, "chunk_id").select("file", F.lit(spec.group_path).alias("group_path"), F.lit(spec.name).alias("name"), "chunk_id", "addr", "size", "offset")
+    chunks = found.join(grid, "chunk_id").select(
+        F.lit(folder).alias("file"), "part", F.lit(spec.group_path).alias("group_path"), F.lit(spec.name).alias("name"), "chunk_id", "addr", "size", "offset"
+    )
     datasets = spark.createDataFrame([spec.row(folder)], DATASETS)
     return Catalog(datasets, chunks)
 
@@ -142,6 +144,11 @@ def value_array(values: np.ndarray, spec: ArraySpec) -> pa.Array:
     return pa.array(values.astype(wide) if spec.dtype.kind == "u" and wide else values)
 
 
+def payload_uri() -> Column:
+    """Where a chunk row's bytes are."""
+    return F.concat_ws("/", "file", "part").alias("file")
+
+
 def read_array(catalog: Catalog, path: str, extents: object = ..., group: str | None = None) -> DataFrame:
     """Cells (i0, ..., value) of a selection.
 
@@ -166,7 +173,7 @@ def read_array(catalog: Catalog, path: str, extents: object = ..., group: str |
                     idx, values = chunk_cells(raw, offset, spec, start, count)
                     yield pa.RecordBatch.from_arrays([*(pa.array(i) for i in idx), value_array(values, spec)], names=[*names, "value"])
 
-    ordered = chunks.repartitionByRange("file", "addr").sortWithinPartitions("file", "addr").select("file", "addr", "size", "offset")
+    ordered = chunks.select(payload_uri(), "addr", "size", "offset").repartitionByRange("file", "addr").sortWithinPartitions("file", "addr")
     return map_batches(ordered, decode, schema)
 
 
@@ -180,7 +187,7 @@ def read_segments(catalog: Catalog, path: str, extents: object = ..., group: str
     start, count = resolve(extents, spec.shape)
     chunks = catalog.chunks.filter((F.col("name") == spec.name) & (F.col("group_path") == spec.group_path))
     planned = by_chunk(segments(catalog.chunks.sparkSession, start, count, spec.shape, spec.chunk_shape), chunks)
-    planned = planned.join(chunks.select("chunk_id", "file"), "chunk_id")
+    planned = planned.join(chunks.select("chunk_id", payload_uri()), "chunk_id")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

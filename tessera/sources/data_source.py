@@ -77,12 +77,12 @@ class ChunkedArrayReader(DataSourceReader):
             return []
         system, path = file_system(f"{self.catalog}/chunks")
         table = ds.dataset(path, filesystem=system).to_table(
-            columns=["file", "addr", "size", "offset"], filter=(pc.field("name") == name) & (pc.field("group_path") == group)
+            columns=["file", "part", "addr", "size", "offset"], filter=(pc.field("name") == name) & (pc.field("group_path") == group)
         )
         hit = []
         for r in table.to_pylist():
             if all(o < h and o + c > low for o, c, low, h in zip(r["offset"], self.spec.chunk_shape, self.low, self.high, strict=True)):
-                hit.append((r["file"], r["addr"], r["size"], r["offset"]))
+                hit.append(("/".join(p for p in (r["file"], r["part"]) if p), r["addr"], r["size"], r["offset"]))
         hit.sort(key=lambda r: r[:2])
         many = max(1, PARTITION_BYTES // max(1, self.spec.chunk_bytes))
         return [ChunkGroup(*map(list, zip(*hit[k : k + many], strict=True)), list(self.low), count) for k in range(0, len(hit), many)]
