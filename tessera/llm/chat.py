@@ -38,9 +38,9 @@ def jump_tables(nodes: DataFrame) -> list[DataFrame]:
     are those of whole root-to-node paths. A chain of n turns takes log2(n) joins.
     """
     level = materialize(nodes.select("tree", "node", F.col("parent").alias("anc"), "score"), "reply-0")
-    out = [level]
+    out, deepest = [level], level.count().bit_length()
     while level.filter("anc IS NOT NULL").take(1):
-        if len(out) > 62:
+        if len(out) > deepest:  # 2^deepest exceeds the number of nodes
             raise ValueError("parent links form a cycle")
         up = level.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("anc").alias("_anc"), F.col("score").alias("_score"))
         met = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("anc") == F.col("_node"))
