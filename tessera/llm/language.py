@@ -87,7 +87,11 @@ def is_letter_table() -> np.ndarray:
 
 
 def learn(samples: dict[str, list[str]]) -> Languages:
-    """Automata from texts by language. Long samples are cut to pieces, taken in turn from all the texts."""
+    """Automata from texts by language.
+
+    A language's texts are cut to pieces, and pieces from anywhere in them are taken, in seeded random order,
+    up to ``SAMPLE_LETTERS``.
+    """
     texts = {name: [code_points(t) for t in found] for name, found in sorted(samples.items())}
     letter = is_letter_table()
     counts: Counter[int] = Counter()
@@ -101,10 +105,9 @@ def learn(samples: dict[str, list[str]]) -> Languages:
     names, tables, sizes = [], [], []
     for name, found in texts.items():
         parts = [letters_only(symbol[t]) for t in found]
-        pieces = []
-        for at in range(0, max(map(len, parts), default=0), 4096):  # every text's first stretch, then its second, ...
-            pieces += [p[at : at + 4096] for p in parts if len(p) > at]
-        flat = np.concatenate([np.zeros(0, np.uint8), *pieces])[:SAMPLE_LETTERS]
+        pieces = [p[at : at + PIECE] for p in parts for at in range(0, len(p), PIECE)]
+        order = np.random.default_rng(42).permutation(len(pieces))
+        flat = np.concatenate([np.zeros(0, np.uint8), *(pieces[k] for k in order[: SAMPLE_LETTERS])])[:SAMPLE_LETTERS]
         if flat.any():
             names.append(name)
             tables.append(suffix_automaton(flat, len(common) + 2).ravel())
