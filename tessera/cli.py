@@ -20,7 +20,7 @@ def main(args: list[str]) -> int:
         if not files:
             print(__doc__, file=sys.stderr)
             return 2
-        Catalog.build(spark, (entry for f in files for entry in array_metadata(f))).write(folder)
+        Catalog.index_files(spark.createDataFrame([(f,) for f in files], "file string"), array_metadata).write(folder)
     else:
         for r in Catalog.read(spark, args[1]).datasets.orderBy("file", "group_path", "name").toLocalIterator():
             print(r["file"], f"/{r['group_path']}/{r['name']}".replace("//", "/"), list(r["shape"]))

@@ -34,8 +34,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the scratch folder."""
-    return f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the scratch folder."""
+    return f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once nothing that was built from them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -8,15 +8,18 @@ offset. The root group is ``''``. A chunk lies in the file itself, or in its ``p
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.functions.dtypes import ElementType
 from tessera.operators.grid import chunk_counts, strides
+from tessera.scratch import map_batches, materialize
 
 DATASETS = (
     "file string, group_path string, name string, kind string, dsize int, byte_order string, shape array<bigint>, "
@@ -62,6 +65,17 @@ class ArraySpec:
         return cls(r["name"], ElementType(r["kind"], r["dsize"], r["byte_order"]), r["shape"], r["chunk_shape"], r["shuffle"], r["gzip"], r["dims"] or (), r["attrs"] or {}, r["group_path"])
 
 
+#: From a file name to its arrays: (file, spec, chunks as (addr, size, offset)).
+Provider = Callable[[str], Iterable[tuple[str, "ArraySpec", Iterable[tuple[int, int, Sequence[int]]]]]]
+
+
+def numbered_chunks(spec: ArraySpec, found: Iterable[tuple[int, int, Sequence[int]]]) -> list[tuple[int, int, int, list[int]]]:
+    """(chunk_id, addr, size, offset), sorted by offset."""
+    scaled = strides(chunk_counts(spec.shape, spec.chunk_shape))
+    number = lambda offset: sum(o // c * s for o, c, s in zip(offset, spec.chunk_shape, scaled, strict=True))
+    return [(number(offset), addr, size, list(offset)) for addr, size, offset in sorted(found, key=lambda c: tuple(c[2]))]
+
+
 def normal_path(path: str | None) -> str:
     """Group paths without outer slashes; None, ``''`` and ``/`` are the root."""
     return (path or "").strip("/")
@@ -77,17 +91,39 @@ class Catalog:
     def build(cls, spark: SparkSession, entries: Iterable[tuple[str, ArraySpec, Iterable[tuple[int, int, Sequence[int]]]]]) -> Catalog:
         """From (file, spec, [(addr, size, offset)]) of a metadata provider, chunks sorted by offset.
 
-        An array stored contiguously has one chunk of its whole shape. For many files, union catalogs.
+        An array stored contiguously has one chunk of its whole shape. This runs on the driver: for a
+        few files; for many, see :meth:`index_files`.
         """
         datasets, chunks = [], []
         for file, spec, found in entries:
             datasets.append(spec.row(file))
-            scaled = strides(chunk_counts(spec.shape, spec.chunk_shape))
-            for addr, size, offset in sorted(found, key=lambda c: tuple(c[2])):
-                number = sum(o // c * s for o, c, s in zip(offset, spec.chunk_shape, scaled, strict=True))
-                chunks.append((file, None, normal_path(spec.group_path), spec.name, number, addr, size, list(offset)))
+            chunks += [(file, None, normal_path(spec.group_path), spec.name, *c) for c in numbered_chunks(spec, found)]
         return cls(spark.createDataFrame(datasets, DATASETS), spark.createDataFrame(chunks, CHUNKS))
 
+    @classmethod
+    def index_files(cls, files: DataFrame, provider: Provider) -> Catalog:
+        """From a table of file names (column ``file``), each indexed by an executor with ``provider``.
+
+        A file that cannot be indexed fails the job. The metadata are written once and read by both tables.
+        """
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file in batch.column("file").to_pylist():
+                    rows = []
+                    for name, spec, found in provider(file):
+                        chunks = [dict(zip(("chunk_id", "addr", "size", "offset"), c, strict=True)) for c in numbered_chunks(spec, found)]
+                        row = spec.row(name)
+                        rows.append(dict(zip(arrow.names, (*row[:-1], list(row[-1].items()), chunks), strict=True)))
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+
+        schema = T.StructType.fromDDL(f"{DATASETS}, chunks array<struct<chunk_id: bigint, addr: bigint, size: bigint, offset: array<bigint>>>")
+        arrow = to_arrow_schema(schema)
+        found = materialize(map_batches(files.select("file").repartition("file"), run, schema), "index")
+        keys = ["file", F.lit(None).cast("string").alias("part"), "group_path", "name"]
+        return cls(found.drop("chunks"), found.select(*keys, F.inline("chunks")))
+
     def union(self, other: Catalog) -> Catalog:
         return Catalog(self.datasets.unionByName(other.datasets), self.chunks.unionByName(other.chunks))
 
@@ -141,13 +177,15 @@ class Catalog:
 
     # Storage.
 
-    def write(self, path: str, mode: str = "errorifexists") -> None:
-        self.datasets.write.mode(mode).parquet(f"{path}/datasets")
-        self.chunks.write.mode(mode).parquet(f"{path}/chunks")
+    def write(self, path: str, mode: str = "errorifexists", source: str = "parquet") -> None:
+        """Store as ``parquet`` (what the data source reads), ``orc`` or ``json``."""
+        self.datasets.write.mode(mode).format(source).save(f"{path}/datasets")
+        self.chunks.write.mode(mode).format(source).save(f"{path}/chunks")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Catalog:
-        return cls(spark.read.schema(DATASETS).parquet(f"{path}/datasets"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks"))
+    def read(cls, spark: SparkSession, path: str, source: str = "parquet") -> Catalog:
+        read = lambda schema, part: spark.read.schema(schema).format(source).load(f"{path}/{part}")
+        return cls(read(DATASETS, "datasets"), read(CHUNKS, "chunks"))
 
 
 def chunks_as_numbers(chunks: DataFrame) -> DataFrame:

@@ -112,3 +112,22 @@ def test_conventions_of_variables(spark):
     got = tessera.Index(catalog).variables()["t"].orderBy("i0").collect()
     assert [r["value"] for r in got] == [2.0, None, 3.0, 4.0]
     assert tessera.Index(catalog).variables(drop=("t",)) == {}
+
+
+def test_files_are_indexed_by_executors(spark):
+    f8 = tessera.ElementType("f", 8)
+
+    def provider(file):
+        yield file, ArraySpec("x", f8, [5], [2], attrs={"units": "m"}, group_path="g"), [(48, 8, [4]), (16, 16, [0]), (32, 16, [2])]
+        yield file, ArraySpec("scalar", f8, [], []), [(0, 8, [])]
+
+    files = spark.createDataFrame([(f"f{k}",) for k in range(7)], "file string")
+    found = Catalog.index_files(files, provider)
+    want = Catalog.build(spark, [e for k in range(7) for e in provider(f"f{k}")])
+    for part in ("datasets", "chunks"):
+        a, b = (sorted(map(str, getattr(c, part).collect())) for c in (found, want))
+        assert a == b
+    assert found.check().filter("NOT complete").count() == 0
+    path = scratch_path(spark, "json")
+    found.write(path, source="json")
+    assert sorted(map(str, Catalog.read(spark, path, "json").chunks.collect())) == sorted(map(str, want.chunks.collect()))
