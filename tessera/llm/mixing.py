@@ -12,6 +12,8 @@ WEIGHTS = (1, 2, 3)
 #: A source is taken this many times at most.
 MAX_REPEAT = 3
 SEED = "mix-0"
+#: Columns that the mix adds.
+OUTPUTS = ("size", "source_size", "target", "copies")
 
 
 def word_count(text: Column) -> Column:
@@ -65,12 +67,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     broadcast only if its written size is below the session's threshold, else sorted, and a hot source
     split by adaptive execution.
     """
-    outputs = ("size", "source_size", "target", "copies")
-    rest = [c for c in docs.columns if c not in outputs]
+    rest = [c for c in docs.columns if c not in OUTPUTS]
     sized = docs.select(*rest, word_count(F.col(text_col)).alias("size"))
     targets = materialize(source_targets(sized.select(F.col(source_col), "size"), source_col), "mix-targets")
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    targets = targets.select(F.col("source").alias("__source"), "source_size", "target")
+    joined = sized.join(targets, F.col(source_col).eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + F.when(draw(F.col(id_col)) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     return joined.select(*rest, "size", "source_size", "target", copies.alias("copies"))
@@ -78,4 +79,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def emit(mixed: DataFrame) -> DataFrame:
     """The mixed corpus: every row ``copies`` times (rows with none go)."""
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).drop("_copy")
+    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).drop("__copy")

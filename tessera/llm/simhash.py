@@ -201,7 +201,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     All columns of ``docs`` stay as they are. Of rows that repeat the kept id, one stays (which one is
     not specified). Rows with a null id cannot be named as copies: they all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_component"))
-    chosen = groups.groupBy("_component").agg(F.min("_id").alias("_keep")).filter("_keep IS NOT NULL").select("_keep")
-    kept = docs.join(materialize(chosen, "simhash-kept"), F.col(id_col) == F.col("_keep"), "left_semi")
+    groups = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__component"))
+    chosen = groups.groupBy("__component").agg(F.min("__id").alias("__keep")).filter("__keep IS NOT NULL").select("__keep")
+    kept = docs.join(materialize(chosen, "simhash-kept"), F.col(id_col) == F.col("__keep"), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
