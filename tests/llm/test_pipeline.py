@@ -65,7 +65,9 @@ def test_stages_keep_the_columns_and_bear_empty_tables(spark, tmp_path):
     for rows in ([], [(1, None, None, None, None, "a", "b"), (1, "one two", "en", "s", 7, "a", "b"), (1, "one two", "en", "s", 7, "a", "b")]):
         docs = spark.createDataFrame(rows, schema)
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, sf_dir).columns == docs.columns, name
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert {(r["score"], r["copies"]) for r in out.collect()} <= {("a", "b")}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == len(rows)
 
 
