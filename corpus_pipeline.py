@@ -6,6 +6,8 @@ say. Between stages the rows are written as Parquet and read again, so a lost ex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +16,24 @@ from tessera.llm.common import materialize, read_table
 from tessera.llm.queries import VOCABULARY
 
 
+def decide(docs: DataFrame, outputs: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs``, back to the columns of ``docs``: own columns named like ``outputs`` stay as they were."""
+    hidden = {c: f"__own_{c}" for c in docs.columns if c in outputs}
+    found = stage(docs.withColumnsRenamed(hidden))
+    return found.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic by a model fitted on all labels."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return decide(docs, ("score", "predicted"), lambda d: toxicity.score(d, model).filter("predicted = 0"))
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; those without any letter go."""
     model = language.train(docs, F.lit(True))
-    kept = language.identify(docs, model).filter(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.select(*docs.columns)
+    found = F.col("lang_pred") != language.UNDETERMINED
+    return decide(docs, ("lang_pred", "score"), lambda d: language.identify(d, model).filter(found))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the source mix takes them: a document may go or repeat."""
-    return mixing.emit(mixing.mix_sources(docs)).select(*docs.columns)
+    return decide(docs, mixing.OUTPUTS, lambda d: mixing.emit(mixing.mix_sources(d)))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
