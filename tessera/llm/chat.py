@@ -30,26 +30,28 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\/#:])", "$1")
 
 
-def jump_tables(nodes: DataFrame) -> list[DataFrame]:
-    """Ancestors by self-joins that double the distance each time.
+def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Ancestors by self-joins that double the distance each time, and each node's whole path score.
 
-    Table k has (tree, node, anc, score): ``anc`` lies 2^k steps up, or is null if the tree ends before;
-    ``score`` sums the node and those below ``anc``. The last table has no ancestor left, so its scores
-    are those of whole root-to-node paths. A chain of n turns takes log2(n) joins.
+    Jump table k has (tree, node, anc, score) of the nodes with an ancestor 2^k steps up; ``score`` sums the
+    node and those below ``anc``. Nodes whose path is done leave: only what is still open is joined again, so
+    a chain of n turns takes log2(n) joins, of which other trees pay for their own depth only.
     """
-    level = materialize(nodes.select("tree", "node", F.col("parent").alias("anc"), "score"), "reply-0")
-    out, deepest = [level], level.count().bit_length()
-    while level.filter("anc IS NOT NULL").take(1):
-        if len(out) > deepest:  # 2^deepest exceeds the number of nodes
+    start = materialize(nodes.select("tree", "node", F.col("parent").alias("anc"), "score"), "reply-0")
+    tables, done, deepest = [], start.filter("anc IS NULL"), start.count().bit_length()
+    level = start.filter("anc IS NOT NULL")
+    while level.take(1):
+        if len(tables) > deepest:  # 2^deepest exceeds the number of nodes
             raise ValueError("parent links form a cycle")
-        up = level.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("anc").alias("_anc"), F.col("score").alias("_score"))
-        met = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("anc") == F.col("_node"))
-        level = level.join(up, met, "left").select(
-            "tree", "node", F.col("_anc").alias("anc"), (F.col("score") + F.coalesce(F.col("_score"), F.lit(0.0))).alias("score")
+        tables.append(level)
+        up = level.unionByName(done).select(
+            F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("anc").alias("_anc"), F.col("score").alias("_score")
         )
-        level = materialize(level, f"reply-{len(out)}")
-        out.append(level)
-    return out
+        met = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("anc") == F.col("_node"))
+        joined = level.join(up, met).select("tree", "node", F.col("_anc").alias("anc"), (F.col("score") + F.col("_score")).alias("score"))
+        joined = materialize(joined, f"reply-{len(tables)}")
+        done, level = done.unionByName(joined.filter("anc IS NULL")), joined.filter("anc IS NOT NULL")
+    return tables, done
 
 
 def reply_paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
@@ -64,18 +66,18 @@ def reply_paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
     known = nodes.join(keys, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("parent") == F.col("_node")), "left")
     clean = known.select("tree", "node", F.col("_node").alias("parent"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     clean = materialize(clean, "reply-nodes")
-    tables = jump_tables(clean)
+    tables, done = jump_tables(clean)
     inner = clean.filter("parent IS NOT NULL").select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).distinct()
-    leaves = tables[-1].join(inner, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
+    leaves = done.join(inner, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
     by_score = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     ranked = leaves.select("tree", "node", "score").withColumn("rank", F.row_number().over(by_score))
     if top_k is not None:
         ranked = ranked.filter(F.col("rank") <= top_k)
     # Down the tables again: the set of steps up grows from {0} to all numbers below 2^levels.
     path = ranked.select("tree", "rank", F.col("node").alias("leaf"), "score", F.lit(0).cast("long").alias("steps_up"), "node")
-    for k in range(len(tables) - 2, -1, -1):
+    for k in range(len(tables) - 1, -1, -1):
         path = materialize(path, "reply-path")
-        up = tables[k].filter("anc IS NOT NULL").select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "anc")
+        up = tables[k].select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "anc")
         more = path.join(up, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")))
         more = more.select("tree", "rank", "leaf", "score", (F.col("steps_up") + F.lit(1 << k)).alias("steps_up"), F.col("anc").alias("node"))
         path = path.unionByName(more)
