@@ -28,23 +28,31 @@ from pyspark.sql import types as T
 from tessera.llm.common import map_batches, replace_columns, replaced_schema, slices
 
 #: Distinct white-space-free chunks, and words, in each of the two generations a worker remembers.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 130_000
 
 
 class Remembered(dict):
-    """Results by key, in two generations: what was used lately survives when memory is full."""
+    """Results by key, in two generations: what was used lately survives when memory is full.
+
+    A key is kept from its second sight on, so the many that occur once take no room.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.seen = make, {}, bytearray(1 << 22)
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+            at = hash(key) & ((1 << 22) - 1)
+            if not self.seen[at]:
+                self.seen[at] = 1
+                return found
         if len(self) >= CACHE_CHUNKS:
             self.old = dict(self)
             self.clear()
+            self.seen = bytearray(1 << 22)
         self[key] = found
         return found
 

@@ -18,10 +18,12 @@ SLICE_ROWS = 256
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut into zero-copy slices of ``rows`` rows at most."""
+    """The batches again, cut into zero-copy slices of ``rows`` rows at most; freed memory is given back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def replaced_schema(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
