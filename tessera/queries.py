@@ -485,3 +485,9 @@ def decode_coords_join(spark, sf_dir):
     cells, dims = a3(spark, sf_dir)
     picked = X.select(cells, (1, X.FULL, X.FULL), dims)
     return conventions.decode_coords(picked, table(spark, sf_dir, "nation"), {"i1": "n_nationkey"}, ["n_name"])
+
+
+@query(f"SELECT a.i0, i1, i2, a.value, n_name FROM ({A3}) a JOIN nation ON a.i1 = n_nationkey")
+def decode_coords_join_whole(spark, sf_dir):
+    cells, _ = a3(spark, sf_dir)
+    return conventions.decode_coords(cells, table(spark, sf_dir, "nation"), {"i1": "n_nationkey"}, ["n_name"])

@@ -47,3 +47,10 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_coordinates_are_joined_to_every_cell(spark):
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
+    got = QUERIES["decode_coords_join_whole"](spark, SF_DIR)
+    assert got.count() == orders > QUERIES["decode_coords_join"](spark, SF_DIR).count()
+    assert got.filter("n_name IS NULL").count() == 0
