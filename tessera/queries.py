@@ -189,6 +189,12 @@ def open_mfdataset_concat(spark, sf_dir):
     return shape.concat([(cells, dims[0]), (X.select(cells, [X.until(50)], dims), 50)])
 
 
+@query(f"SELECT * FROM ({A2}) UNION ALL SELECT i0 + (SELECT max(vec_id) + 1 FROM embeddings), i1, value FROM ({A2})")
+def open_mfdataset_concat_whole(spark, sf_dir):
+    cells, dims = a2(spark, sf_dir)
+    return shape.concat([(cells, dims[0]), (cells, dims[0])])
+
+
 # Chunks.
 
 
@@ -268,6 +274,12 @@ def chunk_slices_by_definition(spark, sf_dir):
     return plan.segments_of_cells(picked, [0, 4, 5], [3, 16, 20], dims, CHUNK3)
 
 
+@query(segment_sql(A2, "i0 * 64 + i1", "(i0 // 50) * 3 + i1 // 24", "(i0 % 50) * 24 + i1 % 24"))
+def chunk_slices_whole(spark, sf_dir):
+    dims = [size_of(table(spark, sf_dir, "embeddings"), "vec_id"), 64]
+    return plan.segments(spark, [0, 0], dims, dims, CHUNK2)
+
+
 def chunk_table(spark: SparkSession, dims: list[int]) -> DataFrame:
     """Chunks of A2 as one file would hold them, each followed by a gap of 100 bytes for every tenth one."""
     found = grid.chunk_grid(spark, dims, CHUNK2)
@@ -424,6 +436,15 @@ def datasource_hyperslab(spark, sf_dir):
     return df.filter("i0 >= 60 AND i0 < 130")
 
 
+@query(A2)
+def datasource_parallel(spark, sf_dir):
+    cells, dims = a2(spark, sf_dir)
+    folder = scratch_path(spark, "store")
+    write_array(cells, ArraySpec("embedding", ElementType("f", 4), dims, CHUNK2, shuffle=True, gzip=1), f"{folder}/data").write(folder)
+    register(spark)
+    return spark.read.format("chunked_array").option("catalog", folder).option("dataset", "embedding").load()
+
+
 @query(f"SELECT dst_offset, src_end - src_start AS elements FROM ({SEG2})")
 def stream_segments(spark, sf_dir):
     cells, dims = a2(spark, sf_dir)

@@ -54,3 +54,10 @@ def test_coordinates_are_joined_to_every_cell(spark):
     got = QUERIES["decode_coords_join_whole"](spark, SF_DIR)
     assert got.count() == orders > QUERIES["decode_coords_join"](spark, SF_DIR).count()
     assert got.filter("n_name IS NULL").count() == 0
+
+
+def test_whole_arrays_are_concatenated_read_and_planned(spark):
+    cells = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count() * 64
+    assert QUERIES["open_mfdataset_concat_whole"](spark, SF_DIR).count() == 2 * cells
+    assert QUERIES["datasource_parallel"](spark, SF_DIR).count() == cells
+    assert QUERIES["chunk_slices_whole"](spark, SF_DIR).selectExpr("sum(src_end - src_start)").first()[0] == cells
