@@ -23,7 +23,7 @@ def canonical_url(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", "")
     rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z]+://[^/?#]*", ""), r"#.*$", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"([?&])utm_[a-z]+=[^&]*", "$1"), r"[?&]+$", "")
+    rest = F.regexp_replace(F.regexp_replace(rest, r"(?<=[?&])utm_[a-z]+=[^&]*(&|$)", ""), r"[?&]+$", "")
     return F.concat(host, F.regexp_replace(rest, r"/$", ""))
 
 

@@ -237,6 +237,18 @@ def test_canonical_urls(spark):
     assert set(got[:4]) == {"example.com/a/b"} and len(set(got[4:7])) == 3 and "example.com/a/b" not in got[4:7] and got[7] is None
 
 
+def test_utm_parameters_go_wherever_they_are(spark):
+    pairs = {
+        "?utm_source=f&id=5": "?id=5", "?a=1&utm_source=f&b=2": "?a=1&b=2", "?utm_source=f&utm_medium=g&id=5": "?id=5", "?a=1&utm_source=f&utm_medium=g&b=2&utm_term=": "?a=1&b=2",
+        "?utm_source=f&": "", "?a=1&utm_source=f": "?a=1", "?a=1&&b=2": "?a=1&&b=2", "?xutm_source=f&id=5": "?xutm_source=f&id=5", "?utm_source=f": "", "?u=/?utm_source=f&b=2": "?u=/?b=2",
+    }
+    df = spark.createDataFrame([(f"http://h/p{q}",) for q in pairs], "url string")
+    assert [r[0] for r in df.select(revisits.canonical_url(F.col("url"))).collect()] == [f"h/p{q}" for q in pairs.values()]
+    rows = [(1, "http://h/p?a=1&b=2", 1, 200, {"ETag": '"a"'}), (2, "http://h/p?a=1&utm_source=f&b=2", 2, 304, {"ETag": '"a"'})]
+    got = revisits.resolve(spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>")).first()
+    assert (got["target_id"], got["verdict"]) == (1, "resolved")
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_revisits_equal_brute_force(spark, parts):
     rng = random.Random(6)
