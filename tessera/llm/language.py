@@ -29,7 +29,7 @@ SAMPLE_LETTERS = 60_000
 SAMPLE_DOCUMENTS = 64
 #: Texts are cut into pieces of this many letters, and parsed piece by piece.
 PIECE = 512
-#: Letters with a symbol of their own, by frequency in the sample; all others share one.
+#: Letters with a column in the dense tables, by frequency in the sample; arcs by rarer ones are kept sparse.
 ALPHABET = 62
 UNDETERMINED = "und"
 
@@ -37,26 +37,61 @@ UNDETERMINED = "und"
 @dataclass
 class Languages:
     names: list[str]  # sorted
-    symbol: np.ndarray  # by code point: 0 no letter (a gap), else the letter's symbol
-    tables: list[np.ndarray]  # by language: state * symbols + symbol -> state, or -1
+    symbol: np.ndarray  # by code point: 0 no letter (a gap), else the letter's symbol; the last one is for all unseen
+    tables: list[np.ndarray]  # by language: state * width + symbol -> state, or -1, for symbols under width
+    width: int
+    rare: list[Arcs]  # by language: arcs by symbols from width on
     sizes: list[int]  # by language: letters in its automaton
 
 
+@dataclass
+class Arcs:
+    """Arcs of an automaton by rare symbols: sorted keys ``state << 32 | symbol``, and where they lead."""
+
+    keys: np.ndarray
+    to: np.ndarray
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """States reached, or -1."""
+        key = (state.astype(np.int64) << 32) | c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+
 def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """Transition table of the suffix automaton of a sequence of symbols; -1 where there is no arc."""
-    table = np.full((2 * len(text) + 2, symbols), -1, dtype=np.int32)
+    return automaton(text, symbols)[0]
+
+
+def automaton(text: np.ndarray, width: int) -> tuple[np.ndarray, Arcs]:
+    """The suffix automaton of a sequence of symbols: a table for those under ``width``, and the arcs by the others.
+
+    An automaton has fewer than three arcs for each letter of its text, however many symbols there are.
+    """
+    table = np.full((2 * len(text) + 2, width), -1, dtype=np.int32)
+    rare: dict[int, dict[int, int]] = {}  # by state: symbol -> state
     link, length = [-1], [0]
     last = 0
+
+    def arc(p: int, c: int) -> int:
+        return int(table[p, c]) if c < width else rare.get(p, {}).get(c, -1)
+
+    def lead(p: int, c: int, to: int) -> None:
+        if c < width:
+            table[p, c] = to
+        else:
+            rare.setdefault(p, {})[c] = to
+
     for c in text.tolist():
         cur = len(length)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and table[p, c] < 0:
-            table[p, c] = cur
+        while p >= 0 and arc(p, c) < 0:
+            lead(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = int(table[p, c])
+            q = arc(p, c)
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
@@ -64,12 +99,16 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                 length.append(length[p] + 1)
                 link.append(link[q])
                 table[clone] = table[q]
-                while p >= 0 and table[p, c] == q:
-                    table[p, c] = clone
+                if q in rare:
+                    rare[clone] = dict(rare[q])
+                while p >= 0 and arc(p, c) == q:
+                    lead(p, c, clone)
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return table[: len(length)].copy()
+    arcs = sorted(((p << 32) | c, to) for p, found in rare.items() for c, to in found.items())
+    keys, to = (np.array([a[k] for a in arcs], np.int64) for k in range(2))
+    return table[: len(length)].copy(), Arcs(keys, to)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -98,35 +137,55 @@ def learn(samples: dict[str, list[str]]) -> Languages:
     for found in texts.values():
         for t in found:
             counts.update(dict(zip(*(x.tolist() for x in np.unique(t[letter[t]], return_counts=True)), strict=True)))
-    common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-    symbol = np.zeros(0x110000, np.uint8)
-    symbol[letter] = len(common) + 1
-    symbol[common] = np.arange(1, len(common) + 1)
-    names, tables, sizes = [], [], []
+    seen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    symbol = np.zeros(0x110000, np.min_scalar_type(len(seen) + 1))
+    symbol[letter] = len(seen) + 1
+    symbol[seen] = np.arange(1, len(seen) + 1)
+    width = min(len(seen), ALPHABET) + 1
+    names, tables, rare, sizes = [], [], [], []
     for name, found in texts.items():
         parts = [letters_only(symbol[t]) for t in found]
         pieces = [p[at : at + PIECE] for p in parts for at in range(0, len(p), PIECE)]
         order = np.random.default_rng(42).permutation(len(pieces))
-        flat = np.concatenate([np.zeros(0, np.uint8), *(pieces[k] for k in order[: SAMPLE_LETTERS])])[:SAMPLE_LETTERS]
+        flat = np.concatenate([symbol[:0], *(pieces[k] for k in order[: SAMPLE_LETTERS])])[:SAMPLE_LETTERS]
         if flat.any():
             names.append(name)
-            tables.append(suffix_automaton(flat, len(common) + 2).ravel())
+            table, arcs = automaton(flat, width)
+            tables.append(table.ravel())
+            rare.append(arcs)
             sizes.append(len(flat))
-    return Languages(names, symbol, tables, sizes)
+    return Languages(names, symbol, tables, width, rare, sizes)
 
 
-def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray, width: int) -> np.ndarray:
-    """Phrases that each piece needs; ``pieces`` is (letters, pieces), longest piece first."""
+def follow(state: np.ndarray, c: np.ndarray, table: np.ndarray, width: int, rare: Arcs | None) -> np.ndarray:
+    """States reached by an arc each, or -1."""
+    if rare is None:
+        return table[state * width + c]
+    sparse = np.flatnonzero(c >= width)
+    if not len(sparse):
+        return table[state * width + c]
+    to = table[state * width + np.where(c < width, c, 0)]
+    to[sparse] = rare.follow(state[sparse], c[sparse])
+    return to
+
+
+def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray, width: int, rare: Arcs | None = None) -> np.ndarray:
+    """Phrases that each piece needs; ``pieces`` is (letters, pieces), longest piece first.
+
+    ``rare`` has the arcs by symbols from ``width`` on, if there are such symbols.
+    """
     state = np.zeros(pieces.shape[1], np.int64)
     phrases = np.ones(pieces.shape[1], np.int64)
+    alone = np.zeros(pieces.shape[1], bool)  # the last letter was one that the language lacks: a phrase by itself
     active = np.searchsorted(-lengths, -np.arange(pieces.shape[0]), side="left")  # pieces longer than each step
     for step, n in enumerate(active.tolist()):
         c = pieces[step, :n]
-        to = table[state[:n] * width + c]
-        ended = np.flatnonzero(to < 0)
+        to = follow(state[:n], c, table, width, rare)
+        ended = np.flatnonzero((to < 0) | alone[:n])
         if len(ended):
-            phrases[ended] += step > 0  # a first letter the language lacks opens no further phrase
-            again = table[c[ended].astype(np.int64)]  # the letter begins the next phrase, or is one by itself
+            phrases[ended] += step > 0
+            again = follow(np.zeros(len(ended), np.int64), c[ended], table, width, rare)  # the letter begins the next phrase
+            alone[ended] = again < 0
             to[ended] = np.maximum(again, 0)
         state[:n] = to
     return phrases
@@ -134,7 +193,6 @@ def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray, wi
 
 def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndarray]:
     """Predicted language and confidence of each text."""
-    width = len(model.tables[0]) and int(model.symbol.max()) + 1 if model.tables else 0
     rows = [letters_only(model.symbol[code_points(t or "")]) for t in texts]
     cut = [(k, r[at : at + PIECE]) for k, r in enumerate(rows) for at in range(0, len(r), PIECE)]
     has_letter = np.array([bool(r.any()) for r in rows], dtype=bool)
@@ -144,12 +202,12 @@ def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndar
         lengths = np.array([len(p) for _, p in cut])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        pieces = np.zeros((int(lengths[0]), len(cut)), np.uint8)
+        pieces = np.zeros((int(lengths[0]), len(cut)), model.symbol.dtype)
         for col, k in enumerate(order.tolist()):
             pieces[: len(cut[k][1]), col] = cut[k][1]
         owner = np.array([k for k, _ in cut])[order]
         for i, table in enumerate(model.tables):
-            phrases = phrase_counts(pieces, lengths, table, width)
+            phrases = phrase_counts(pieces, lengths, table, model.width, model.rare[i])
             cost[i] = np.bincount(owner, phrases, len(rows)) * np.log2(model.sizes[i] + 1) / np.maximum(total, 1)
     if not model.names:
         return [UNDETERMINED] * len(rows), np.zeros(len(rows))

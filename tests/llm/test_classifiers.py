@@ -130,3 +130,28 @@ def test_languages(spark):
     none = language.train(docs.limit(0), F.lit(True))
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_every_letter_of_the_sample_counts():
+    """Languages that differ in letters far beyond the most frequent ones only."""
+    rng = np.random.default_rng(5)
+    words = {lang: ["".join(chr(at + x) for x in rng.integers(0, 200, 3)) for _ in range(200)] for lang, at in (("both", 0x4E00), ("ja", 0x5E00), ("zh", 0x6E00))}
+    own = {lang: words[lang] for lang in ("ja", "zh")}
+
+    def text(lang, n):
+        return "".join(rng.choice(words["both" if rng.random() < 0.8 else lang]) for _ in range(n))
+
+    model = language.learn({lang: [text(lang, 400) for _ in range(30)] for lang in own})
+    want = [lang for lang in own for _ in range(40)]
+    assert language.parse([text(lang, 60) for lang in want], model)[0] == want
+
+
+def test_rare_symbols_parse_as_in_a_table():
+    rng = np.random.default_rng(6)
+    text, probe = rng.integers(0, 9, 300).astype(np.int32), rng.integers(0, 11, (50, 7)).astype(np.int32)
+    lengths = np.full(7, 50)
+    whole = language.suffix_automaton(text, 11).ravel()
+    table, rare = language.automaton(text, 4)
+    assert language.phrase_counts(probe, lengths, table.ravel(), 4, rare).tolist() == language.phrase_counts(probe, lengths, whole, 11).tolist()
+    found = Substrings(tuple(text.tolist()))
+    assert language.phrase_counts(probe, lengths, whole, 11).tolist() == [brute_phrases(tuple(probe[:, k].tolist()), 50, found) for k in range(7)]
