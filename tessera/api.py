@@ -64,7 +64,7 @@ class Dataset:
         """Values of a selection in an array of its counts; ``out`` must have room for them.
 
         The driver holds the selection, so this is for results, not for whole archives. Chunks that are
-        missing leave zeros.
+        missing give fill values.
         """
         start, count = resolve(extents, self.spec.shape)
         found = np.zeros(math.prod(count), self.spec.dtype.numpy.newbyteorder("=")) if out is None else out.reshape(-1)

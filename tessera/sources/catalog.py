@@ -11,12 +11,14 @@ import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.functions.conventions import resolve_fill_value
 from tessera.functions.dtypes import ElementType
 from tessera.operators.grid import chunk_counts, strides
 from tessera.scratch import map_batches, materialize
@@ -28,6 +30,9 @@ DATASETS = (
 )
 CHUNKS = "file string, part string, group_path string, name string, chunk_id bigint, addr bigint, size bigint, offset array<bigint>"
 
+#: The attribute for a fill value that a file has apart from its attributes.
+FILL = "_ChunkFill"
+
 
 @dataclass
 class ArraySpec:
@@ -53,6 +58,16 @@ class ArraySpec:
     def chunk_bytes(self) -> int:
         return math.prod(self.chunk_shape) * self.dtype.size
 
+    @property
+    def fill(self) -> bytes:
+        """Bytes of an element that was never written: the file's own fill value, else the marker of missing data, else zero."""
+        marker = self.attrs.get(FILL, resolve_fill_value(dict(self.attrs))[0])
+        if marker is None:
+            return bytes(self.dtype.size)
+        if self.dtype.kind == "c":
+            return str(marker).encode()[: self.dtype.size].ljust(self.dtype.size, b"\0")
+        return np.array((int if self.dtype.kind in "iu" else float)(marker)).astype(self.dtype.numpy).tobytes()
+
     def row(self, file: str) -> tuple:
         scaled = strides(chunk_counts(self.shape, self.chunk_shape))
         return (

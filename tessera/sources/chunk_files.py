@@ -108,10 +108,10 @@ def ranged_reads(reads: list[tuple[int, int, int]], max_gap: int = MAX_GAP, max_
     return out
 
 
-def read_payloads(files: list[str], addrs: list[int], sizes: list[int]) -> list[bytes]:
-    """Stored bytes of chunks, with neighbouring ones fetched by one request."""
-    out: list[bytes] = [b""] * len(files)
-    for uri in sorted(set(files)):
+def read_payloads(files: list[str | None], addrs: list[int | None], sizes: list[int | None]) -> list[bytes | None]:
+    """Stored bytes of chunks, with neighbouring ones fetched by one request; None for those without a file."""
+    out: list[bytes | None] = [None] * len(files)
+    for uri in sorted({f for f in files if f is not None}):
         with open_file(uri) as source:
             for group in ranged_reads([(addrs[k], sizes[k], k) for k, f in enumerate(files) if f == uri]):
                 start, end = group[0][0], max(a + s for a, s, _ in group)
@@ -124,9 +124,16 @@ def read_payloads(files: list[str], addrs: list[int], sizes: list[int]) -> list[
     return out
 
 
-def chunk_cells(raw: bytes, offset: list[int], spec: ArraySpec, start: list[int], count: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+def plain_chunk(raw: bytes | None, spec: ArraySpec) -> bytes:
+    """Decoded bytes of a chunk; fill values if it was never written."""
+    if raw is None:
+        return spec.fill * math.prod(spec.chunk_shape)
+    return decode_chunk(raw, spec.chunk_bytes, spec.dtype.size, spec.gzip, spec.shuffle)
+
+
+def chunk_cells(raw: bytes | None, offset: list[int], spec: ArraySpec, start: list[int], count: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """Indices and values of a chunk's cells within a selection, edge padding left out."""
-    values = spec.dtype.native(decode_chunk(raw, spec.chunk_bytes, spec.dtype.size, spec.gzip, spec.shuffle)).reshape(tuple(spec.chunk_shape))
+    values = spec.dtype.native(plain_chunk(raw, spec)).reshape(tuple(spec.chunk_shape))
     low = [max(s - o, 0) for s, o in zip(start, offset, strict=True)]
     high = [min(s + n, o + c, m) - o for s, n, o, c, m in zip(start, count, offset, spec.chunk_shape, spec.shape, strict=True)]
     box = values[tuple(slice(a, b) for a, b in zip(low, high, strict=True))]
@@ -149,19 +156,28 @@ def payload_uri() -> Column:
     return F.concat_ws("/", "file", "part").alias("file")
 
 
+def due_chunks(catalog: Catalog, spec: ArraySpec, start: list[int], count: list[int]) -> DataFrame:
+    """Chunks (chunk_id, offset, file, addr, size) that a selection touches; no file for those never written.
+
+    The chunk table is pruned first, by comparisons on offsets.
+    """
+    chunks = catalog.chunks.filter((F.col("name") == spec.name) & (F.col("group_path") == spec.group_path))
+    for j, (s, n, c) in enumerate(zip(start, count, spec.chunk_shape, strict=True)):
+        chunks = chunks.filter((F.col("offset")[j] > s - c) & (F.col("offset")[j] < s + n) if all(count) else F.lit(False))
+    due = chunk_grid(catalog.chunks.sparkSession, spec.shape, spec.chunk_shape, start, count).select("chunk_id", "offset")
+    return due.join(chunks.select("chunk_id", payload_uri(), "addr", "size"), "chunk_id", "left")
+
+
 def read_array(catalog: Catalog, path: str, extents: object = ..., group: str | None = None) -> DataFrame:
     """Cells (i0, ..., value) of a selection.
 
     The selection prunes the chunk table first, by comparisons on offsets; each remaining chunk is read
-    and decoded once, in order of address within a task, and only selected cells leave Python.
+    and decoded once, in order of address within a task, and only selected cells leave Python. Chunks that
+    were never written give fill values.
     """
     _, spec = catalog.spec(path, group)
     start, count = resolve(extents, spec.shape)
-    rank = len(spec.shape)
-    names = index_names(rank)
-    chunks = catalog.chunks.filter((F.col("name") == spec.name) & (F.col("group_path") == spec.group_path))
-    for j, (s, n, c) in enumerate(zip(start, count, spec.chunk_shape, strict=True)):
-        chunks = chunks.filter((F.col("offset")[j] > s - c) & (F.col("offset")[j] < s + n) if all(count) else F.lit(False))
+    names = index_names(len(spec.shape))
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names] + [T.StructField("value", spec.dtype.spark)])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +189,9 @@ def read_array(catalog: Catalog, path: str, extents: object = ..., group: str |
                     idx, values = chunk_cells(raw, offset, spec, start, count)
                     yield pa.RecordBatch.from_arrays([*(pa.array(i) for i in idx), value_array(values, spec)], names=[*names, "value"])
 
-    ordered = chunks.select(payload_uri(), "addr", "size", "offset").repartitionByRange("file", "addr").sortWithinPartitions("file", "addr")
+    keys = ["file", "addr", "chunk_id"]  # by chunk_id, those without a file are spread too
+    ordered = due_chunks(catalog, spec, start, count).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = ordered.select("file", "addr", "size", "offset")
     return map_batches(ordered, decode, schema)
 
 
@@ -181,20 +199,20 @@ def read_segments(catalog: Catalog, path: str, extents: object = ..., group: str
     """Decoded bytes by segment: (dst_offset, payload), in the array's own byte order.
 
     Each chunk is decoded once for all its segments. Ordered by dst_offset, the payloads are the
-    selection in row-major order.
+    selection in row-major order; chunks that were never written give fill values.
     """
     _, spec = catalog.spec(path, group)
     start, count = resolve(extents, spec.shape)
-    chunks = catalog.chunks.filter((F.col("name") == spec.name) & (F.col("group_path") == spec.group_path))
-    planned = by_chunk(segments(catalog.chunks.sparkSession, start, count, spec.shape, spec.chunk_shape), chunks)
-    planned = planned.join(chunks.select("chunk_id", payload_uri()), "chunk_id")
+    due = due_chunks(catalog, spec, start, count)
+    planned = by_chunk(segments(catalog.chunks.sparkSession, start, count, spec.shape, spec.chunk_shape), due)
+    planned = planned.join(due.select("chunk_id", "file"), "chunk_id")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = read_payloads(*(batch.column(n).to_pylist() for n in ("file", "addr", "size")))
             dst, out = [], []
             for raw, runs in zip(payloads, batch.column("segments").to_pylist(), strict=True):
-                plain = decode_chunk(raw, spec.chunk_bytes, spec.dtype.size, spec.gzip, spec.shuffle)
+                plain = plain_chunk(raw, spec)
                 for r in runs:
                     dst.append(r["dst_offset"])
                     out.append(plain[r["src_start"] * spec.dtype.size : r["src_end"] * spec.dtype.size])

@@ -9,6 +9,8 @@ Comparisons on index columns prune chunks before any is read (with
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +30,9 @@ PARTITION_BYTES = 64 * 1024 * 1024
 
 @dataclass
 class ChunkGroup(InputPartition):
-    files: list[str]
-    addrs: list[int]
-    sizes: list[int]
+    files: list[str | None]  # None: never written, gives fill values
+    addrs: list[int | None]
+    sizes: list[int | None]
     offsets: list[list[int]]
     start: list[int]
     count: list[int]
@@ -84,6 +86,10 @@ class ChunkedArrayReader(DataSourceReader):
             if all(o < h and o + c > low for o, c, low, h in zip(r["offset"], self.spec.chunk_shape, self.low, self.high, strict=True)):
                 hit.append(("/".join(p for p in (r["file"], r["part"]) if p), r["addr"], r["size"], r["offset"]))
         hit.sort(key=lambda r: r[:2])
+        stored = {tuple(r[3]) for r in hit}
+        touched = [range(low // c * c, h, c) for low, h, c in zip(self.low, self.high, self.spec.chunk_shape, strict=True)]
+        if len(stored) < math.prod(map(len, touched)):
+            hit += [(None, None, None, list(o)) for o in itertools.product(*touched) if o not in stored]
         many = max(1, PARTITION_BYTES // max(1, self.spec.chunk_bytes))
         return [ChunkGroup(*map(list, zip(*hit[k : k + many], strict=True)), list(self.low), count) for k in range(0, len(hit), many)]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from tessera.functions.dtypes import ElementType
-from tessera.sources.catalog import ArraySpec
+from tessera.sources.catalog import FILL, ArraySpec
 
 EXTENSIONS = (".nc", ".nc4", ".cdf", ".h5", ".hdf5")
 
@@ -48,6 +48,8 @@ def array_metadata(path: str) -> Iterator[tuple[str, ArraySpec, list[tuple[int,
             return
         group, _, leaf = name.rpartition("/")
         attrs = {k: str(v) for k, v in node.attrs.items() if k not in ("DIMENSION_LIST", "REFERENCE_LIST")}
+        if kind != "c" and node.fillvalue != 0:
+            attrs[FILL] = str(node.fillvalue)
         spec = ArraySpec(leaf, ElementType(kind, node.dtype.itemsize, order), node.shape, node.chunks or node.shape, bool(node.shuffle), node.compression_opts if node.compression == "gzip" else None, [], attrs, group)
         found.append((path, spec, chunks))
 

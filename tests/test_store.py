@@ -6,7 +6,7 @@ import pytest
 import tessera
 from tessera.operators.grid import unravel
 from tessera.scratch import scratch_path
-from tessera.sources.catalog import ArraySpec, Catalog, chunks_as_numbers, numbers_as_chunks
+from tessera.sources.catalog import FILL, ArraySpec, Catalog, chunks_as_numbers, numbers_as_chunks
 from tessera.sources.chunk_files import write_array
 from tessera.sources.data_source import register
 from tessera.streaming.segments import stream_bytes, stream_values, stream_xdr
@@ -131,3 +131,26 @@ def test_files_are_indexed_by_executors(spark):
     path = scratch_path(spark, "json")
     found.write(path, source="json")
     assert sorted(map(str, Catalog.read(spark, path, "json").chunks.collect())) == sorted(map(str, want.chunks.collect()))
+
+
+def test_chunks_never_written_read_as_fill_values(spark):
+    values = np.arange(60, dtype=np.int32).reshape(10, 6)
+    for attrs, fill in (({}, 0), ({"_FillValue": "-9"}, -9), ({"_FillValue": "-9", FILL: "7"}, 7)):
+        whole = store(spark, values, ArraySpec("x", tessera.ElementType("i", 4, "BE"), [10, 6], [4, 4], gzip=2, attrs=attrs))
+        sparse = Catalog(whole.datasets, whole.chunks.filter("chunk_id NOT IN (0, 3, 5)"))
+        want = values.copy()
+        want[:4, :4] = want[4:8, 4:] = want[8:, 4:] = fill
+        extents = tessera.from_vectors([1, 2], [9, 4])
+        assert np.array_equal(tessera.Index(sparse)["x"][...], want)
+        assert sparse.chunks.count() == 3 and tessera.Index(sparse)["x"].cells(extents).count() == 36
+        assert np.array_equal(np.concatenate(list(stream_values(sparse, "x", extents))), want[1:, 2:].ravel())
+    folder = scratch_path(spark, "sparse")
+    sparse.write(folder)
+    register(spark)
+    df = spark.read.format("chunked_array").option("catalog", folder).option("dataset", "x").load()
+    assert sorted(tuple(r) for r in df.collect()) == [(i, j, int(want[i, j])) for i in range(10) for j in range(6)]
+    assert sorted(tuple(r) for r in df.filter("i0 >= 5 AND i1 = 4").collect()) == [(i, 4, int(want[i, 4])) for i in range(5, 10)]
+    none = Catalog(whole.datasets, whole.chunks.limit(0))
+    assert tessera.Index(none)["x"][...].tolist() == np.full((10, 6), 7).tolist()
+    scalar = store(spark, np.array(5.0), ArraySpec("s", tessera.ElementType("f", 8), [], [], attrs={"_FillValue": "1.5"}))
+    assert tessera.Index(scalar)["s"][...] == 5 and tessera.Index(Catalog(scalar.datasets, scalar.chunks.limit(0)))["s"][...] == 1.5
