@@ -26,7 +26,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "mit-warranty": (
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     ),
-    "apache-name": ("Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', "Apache License, Version 2.0", "Released under the Apache License, Version 2.0"),
+    "apache-name": ("Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")', "Apache License, Version 2.0", "Released under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
     "apache-terms": ("you may not use this file except in compliance with the License",),
     "apache-copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
     "gpl3-name": ("This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -40,6 +40,24 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-4": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "cc-by-sa-4": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "mpl-name": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"),
+    "gpl2-name": ("This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "GNU General Public License, version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "gpl2-grant": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    ),
+    "gpl2-only": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",),
+    "lgpl21-name": ("Licensed under the GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "lgpl21-grant": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",),
+    "lgpl3-name": ("Licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "lgpl3-grant": tuple(f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version" for what in ("program", "library")),
+    "agpl3-name": ("Licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    "agpl3-grant": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "isc-name": ("Released under the ISC License", "Licensed under the ISC License", "This project is licensed under the ISC License", "ISC License"),
+    "isc-grant": tuple(f"Permission to use, copy, modify, and{do} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies" for do in ("", "/or")),
+    "epl2-name": ("Licensed under the Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    "epl1-name": ("Licensed under the Eclipse Public License 1.0", "Eclipse Public License - v 1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+    "unlicense": ("This is free and unencumbered software released into the public domain", "Released under the Unlicense", "Licensed under the Unlicense"),
+    "cc0": ("CC0 1.0 Universal", "Licensed under CC0 1.0", "This work is licensed under CC0 1.0", "This work is licensed under a Creative Commons CC0 1.0 Universal License", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     "reserved": ("All rights reserved",),
 }
 
@@ -60,6 +78,14 @@ RULES: tuple[Rule, ...] = (
     Rule("Apache-2.0", ("apache-name", "apache-terms")),
     Rule("GPL-3.0-or-later", ("gpl-grant", "gpl-hope")),
     Rule("GPL-3.0-or-later", ("gpl-grant",)),
+    Rule("GPL-2.0-or-later", ("gpl2-grant", "gpl-hope")),
+    Rule("GPL-2.0-or-later", ("gpl2-grant",)),
+    Rule("GPL-2.0-only", ("gpl2-only",)),
+    Rule("LGPL-2.1-or-later", ("lgpl21-grant",)),
+    Rule("LGPL-3.0-or-later", ("lgpl3-grant",)),
+    Rule("AGPL-3.0-or-later", ("agpl3-grant",)),
+    Rule("ISC", ("isc-name", "isc-grant")),
+    Rule("ISC", ("isc-grant",)),
     Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     Rule("BSD-1-Clause", ("bsd-grant", "bsd-source")),
@@ -70,6 +96,15 @@ RULES: tuple[Rule, ...] = (
     Rule("CC-BY-4.0", ("cc-by-4",)),
     Rule("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     Rule("MPL-2.0", ("mpl-name",)),
+    Rule("GPL-2.0", ("gpl2-name",)),
+    Rule("LGPL-2.1", ("lgpl21-name",)),
+    Rule("LGPL-3.0", ("lgpl3-name",)),
+    Rule("AGPL-3.0", ("agpl3-name",)),
+    Rule("ISC", ("isc-name",)),
+    Rule("EPL-2.0", ("epl2-name",)),
+    Rule("EPL-1.0", ("epl1-name",)),
+    Rule("Unlicense", ("unlicense",)),
+    Rule("CC0-1.0", ("cc0",)),
     Rule("all-rights-reserved", ("reserved",)),
 )
 

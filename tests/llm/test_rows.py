@@ -221,6 +221,19 @@ def test_licence_rules(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_common_licences_are_recognised(spark):
+    texts = {
+        "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY.",
+        "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999", "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
+        "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+        "ISC": "ISC License\n\nCopyright (c) 2020 Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "EPL-2.0": "Eclipse Public License - v 2.0", "EPL-1.0": "Licensed under the Eclipse Public License 1.0.", "Unlicense": "This is free and unencumbered software released into the public domain.", "CC0-1.0": "CC0 1.0 Universal", "Apache-2.0": "Apache License\n                           Version 2.0, January 2004",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "want string, text string")
+    assert {r["want"]: [s["licence"] for s in r["licences"]] for r in licences.scan(docs).collect()} == {k: [k] for k in texts}
+    assert {r.licence for r in licences.RULES} >= texts.keys() and {i for r in licences.RULES for i in r.sequence} == licences.SENTENCES.keys()
+
+
 def test_anchors_cover_all_sentences():
     index = licences.SentenceIndex(licences.SENTENCES)
     assert all(set(k) & set(index.anchors) for k in index.known)
