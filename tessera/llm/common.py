@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.scratch import map_batches, materialize
 
-__all__ = ["id_remainder", "map_batches", "materialize", "read_table", "replace_columns", "replaced_schema", "sample_per_class", "slices", "words_column"]
+__all__ = ["id_remainder", "map_batches", "materialize", "read_table", "replace_columns", "replaced_schema", "sample_ids", "slices", "words_column"]
 
 #: Documents handed to a Python operator at a time: bounds a worker's memory when texts are long.
 SLICE_ROWS = 256
@@ -44,22 +44,32 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_per_class(df: DataFrame, id_col: str, class_col: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows of each class: those whose ids hash lowest.
+def sample_ids(rows: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` distinct ids of each class: those that hash lowest, as (id, class).
 
-    Counts come from all rows; a hash threshold then thins every class to about twice the bound
-    before the rows are ranked, so no task sorts a large class.
+    ``rows`` has id (not null) and class (not null); rows that repeat an id and class count once. A hash
+    threshold thins each class to about twice the bound before anything is gathered; it is widened where
+    repeats left a class with fewer ids than the bound while more are to be had. So some ``2 * bound`` ids a
+    class reach the driver, and no task ranks a class. The tables of classes have one row for each class.
     """
-    counts = {r[class_col]: r["n"] for r in df.groupBy(class_col).agg(F.count("*").alias("n")).collect()}
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    wide = 2.0**63
-    share = F.lit(None).cast("double")
-    for value, n in counts.items():
-        limit = min(1.0, 2.0 * bound / max(n, 1))
-        share = F.when(F.col(class_col).eqNullSafe(F.lit(value)), F.lit(limit)).otherwise(share)
-    thin = df.withColumn("_key", key).filter(F.col("_key").cast("double") <= (share * 2.0 - 1.0) * wide)
-    order = Window.partitionBy(class_col).orderBy("_key", id_col)
-    return thin.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= bound).drop("_rank", "_key")
+    spark, kinds = rows.sparkSession, (rows.schema["id"], rows.schema["class"])
+    key = F.xxhash64(F.col("id").cast("string"))
+    counts = rows.groupBy("class").agg(F.count("*").alias("n")).collect()
+    share = {r["class"]: min(1.0, 2.0 * bound / r["n"]) for r in counts}
+    chosen: list[tuple] = []
+    while share:
+        limits = spark.createDataFrame(list(share.items()), T.StructType([kinds[1], T.StructField("share", T.DoubleType())]))
+        thin = rows.join(limits, "class").filter(key.cast("double") <= (F.col("share") * 2.0 - 1.0) * 2.0**63)
+        found: dict = {c: [] for c in share}
+        for r in thin.select("class", "id", key.alias("key")).distinct().collect():
+            found[r["class"]].append((r["key"], r["id"]))
+        for c, ids in found.items():
+            if len(ids) >= bound or share[c] >= 1.0:
+                chosen += [(i, c) for _, i in sorted(ids)[:bound]]
+                del share[c]
+            else:
+                share[c] = min(1.0, share[c] * min(16.0, max(2.0, 2.0 * bound / max(1, len(ids)))))
+    return spark.createDataFrame(chosen, T.StructType(list(kinds)))
 
 
 def words_column(text: Column) -> Column:

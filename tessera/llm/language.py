@@ -5,110 +5,139 @@ it: each phrase is the longest match of the text's next letters that occurs in t
 The phrase count, normalised by length, estimates the cross entropy (Ziv and Merhav); the language
 that needs the fewest normalised phrases wins.
 
-A phrase ends where the automaton has no arc, and the next begins at the start state, so parsing is a
-walk through a table. It is done for many pieces of text in step: pieces never share phrases.
+Whole texts are parsed as one sequence each. To use vectors, a text is entered at many places at once:
+a walk that begins a little before a place guesses where a phrase begins after it, as walks soon fall into
+step. Where a walk that comes from before proves the guess wrong, that stretch is walked again, so
+the phrases are exactly those of the parse from the text's first letter on.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_batches, replace_columns, replaced_schema, sample_per_class, slices
+from tessera.llm.common import map_batches, replace_columns, replaced_schema, sample_ids, slices
 
 #: Letters of labelled text that a language's automaton is built from, at most.
 SAMPLE_LETTERS = 60_000
 #: Labelled documents of each language drawn for it at most (by id hash).
 SAMPLE_DOCUMENTS = 64
-#: Texts are cut into pieces of this many letters, and parsed piece by piece.
+#: Labelled documents are sampled by pieces of this many letters.
 PIECE = 512
-#: Letters with a column in the dense tables, by frequency in the sample; arcs by rarer ones are kept sparse.
-ALPHABET = 62
+#: One of so many sampled pieces is kept out of the automaton, to see what texts of the language cost.
+CALIBRATION = 8
+#: A text of ``LEAST_LETTERS`` is not recognised if it costs more than this many times the dearest of those pieces.
+MARGIN, LEAST_LETTERS = 2.0, 100
+#: A text is entered every ``STRIDE`` letters, by walks that begin ``LEAD`` letters before.
+STRIDE, LEAD = 1024, 48
 UNDETERMINED = "und"
 
 
 @dataclass
-class Languages:
-    names: list[str]  # sorted
-    symbol: np.ndarray  # by code point: 0 no letter (a gap), else the letter's symbol; the last one is for all unseen
-    tables: list[np.ndarray]  # by language: state * width + symbol -> state, or -1, for symbols under width
-    width: int
-    rare: list[Arcs]  # by language: arcs by symbols from width on
-    sizes: list[int]  # by language: letters in its automaton
-
+class Automaton:
+    """A suffix automaton in a displaced table: the arc of ``state`` by ``c`` lies at ``base[state] + c`` if ``owner`` there says so."""
 
-@dataclass
-class Arcs:
-    """Arcs of an automaton by rare symbols: sorted keys ``state << 32 | symbol``, and where they lead."""
-
-    keys: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
     to: np.ndarray
+    letters: int
 
     def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """States reached, or -1."""
-        key = (state.astype(np.int64) << 32) | c
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1) if len(self.keys) else np.full(len(key), -1)
+        """States reached by an arc each, or -1."""
+        at = self.base[state] + c
+        return np.where(self.owner[at] == state, self.to[at], -1)
 
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.owner.nbytes + self.to.nbytes
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Transition table of the suffix automaton of a sequence of symbols; -1 where there is no arc."""
-    return automaton(text, symbols)[0]
 
+@dataclass
+class Languages:
+    names: list[str]  # sorted
+    symbol: np.ndarray  # by code point: 0 no letter (a gap), else the letter's symbol; one symbol is for all unseen
+    automata: list[Automaton]  # by language
+    dearest: np.ndarray  # by language: bits a letter up to which a text is recognised
 
-def automaton(text: np.ndarray, width: int) -> tuple[np.ndarray, Arcs]:
-    """The suffix automaton of a sequence of symbols: a table for those under ``width``, and the arcs by the others.
 
-    An automaton has fewer than three arcs for each letter of its text, however many symbols there are.
-    """
-    table = np.full((2 * len(text) + 2, width), -1, dtype=np.int32)
-    rare: dict[int, dict[int, int]] = {}  # by state: symbol -> state
+def suffix_arcs(text: np.ndarray) -> list[dict[int, int]]:
+    """Arcs of the suffix automaton of a sequence of symbols, by state; state 0 is the start."""
+    arcs: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
-
-    def arc(p: int, c: int) -> int:
-        return int(table[p, c]) if c < width else rare.get(p, {}).get(c, -1)
-
-    def lead(p: int, c: int, to: int) -> None:
-        if c < width:
-            table[p, c] = to
-        else:
-            rare.setdefault(p, {})[c] = to
-
     for c in text.tolist():
-        cur = len(length)
+        cur = len(arcs)
+        arcs.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and arc(p, c) < 0:
-            lead(p, c, cur)
+        while p >= 0 and c not in arcs[p]:
+            arcs[p][c] = cur
             p = link[p]
         if p >= 0:
-            q = arc(p, c)
+            q = arcs[p][c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = len(length)
+                clone = len(arcs)
+                arcs.append(dict(arcs[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                table[clone] = table[q]
-                if q in rare:
-                    rare[clone] = dict(rare[q])
-                while p >= 0 and arc(p, c) == q:
-                    lead(p, c, clone)
+                while p >= 0 and arcs[p].get(c) == q:
+                    arcs[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    arcs = sorted(((p << 32) | c, to) for p, found in rare.items() for c, to in found.items())
-    keys, to = (np.array([a[k] for a in arcs], np.int64) for k in range(2))
-    return table[: len(length)].copy(), Arcs(keys, to)
+    return arcs
+
+
+def automaton(text: np.ndarray, symbols: int) -> Automaton:
+    """The suffix automaton of a sequence of symbols below ``symbols``.
+
+    A suffix automaton has fewer than three arcs for each letter of its text, and the table at most two places
+    for each arc, however many symbols there are. States of several arcs are put at places drawn
+    until all their arcs fit, the larger ones first; states of one arc fill the places left.
+    """
+    arcs = suffix_arcs(text)
+    degree = np.fromiter(map(len, arcs), np.int64, len(arcs))
+    c = np.fromiter((x for found in arcs for x in found), np.int64, int(degree.sum()))
+    to = np.fromiter((x for found in arcs for x in found.values()), np.int64, len(c))
+    first = np.cumsum(degree) - degree
+    pending = np.flatnonzero(degree > 1)
+    pending = pending[np.argsort(-degree[pending], kind="stable")]
+    many, single = int(degree[pending].sum()), np.flatnonzero(degree == 1)
+    places = max(2 * many, many + len(single)) + symbols
+    base = np.zeros(len(arcs), np.int32)
+    owner, target = np.full(places + 2 * symbols, -1, np.int32), np.full(places + 2 * symbols, -1, np.int32)
+    rng, rounds = np.random.default_rng(42), 0
+    while len(pending):
+        rounds += 1
+        if rounds % 64 == 0:  # crowded: more room
+            places += many + symbols
+            owner, target = (np.concatenate([x, np.full(many + symbols, -1, np.int32)]) for x in (owner, target))
+        drawn = rng.integers(symbols, places, len(pending))
+        n = degree[pending]
+        who = np.repeat(np.arange(len(pending)), n)
+        arc = np.repeat(first[pending] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        slot = drawn[who] + c[arc]
+        claim = np.full(len(owner), len(pending))
+        np.minimum.at(claim, slot, who)
+        fits = np.bincount(who, (owner[slot] >= 0) | (claim[slot] != who), len(pending)) == 0
+        put = fits[who]
+        owner[slot[put]], target[slot[put]] = pending[who[put]], to[arc[put]]
+        base[pending[fits]] = drawn[fits]
+        pending = pending[~fits]
+    left = symbols + np.flatnonzero(owner[symbols:] < 0)[: len(single)]
+    base[single] = left - c[first[single]]
+    owner[left], target[left] = single, to[first[single]]
+    return Automaton(base, owner, target, len(text))
 
 
 def code_points(text: str) -> np.ndarray:
@@ -125,92 +154,142 @@ def is_letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def pieces_of(text: str, letter: np.ndarray) -> list[str]:
+    """Pieces of ``PIECE`` letters of a text from anywhere in it, in an order that its hash seeds: ``SAMPLE_LETTERS`` at most."""
+    points = code_points(text)
+    plain = letters_only(np.where(letter[points], points, 0).astype("<u4"))
+    pieces = [plain[at : at + PIECE] for at in range(0, len(plain), PIECE)]
+    order = np.random.default_rng(xxhash.xxh3_64_intdigest(text.encode())).permutation(len(pieces))
+    return [pieces[k].tobytes().decode("utf-32-le").replace("\0", " ") for k in order[: SAMPLE_LETTERS // PIECE + 1]]
+
+
 def learn(samples: dict[str, list[str]]) -> Languages:
-    """Automata from texts by language.
+    """Automata from texts by language: of their pieces, in seeded random order, ``SAMPLE_LETTERS`` letters."""
+    letter = is_letter_table()
+    return learn_pieces({name: [p for t in found for p in pieces_of(t, letter)] for name, found in samples.items()})
+
 
-    A language's texts are cut to pieces, and pieces from anywhere in them are taken, in seeded random order,
-    up to ``SAMPLE_LETTERS``.
+def learn_pieces(samples: dict[str, list[str]]) -> Languages:
+    """Automata from pieces of text by language.
+
+    A symbol that no text has lies between the pieces, so no match runs over a joint.
     """
-    texts = {name: [code_points(t) for t in found] for name, found in sorted(samples.items())}
     letter = is_letter_table()
-    counts: Counter[int] = Counter()
-    for found in texts.values():
-        for t in found:
-            counts.update(dict(zip(*(x.tolist() for x in np.unique(t[letter[t]], return_counts=True)), strict=True)))
-    seen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
-    symbol = np.zeros(0x110000, np.min_scalar_type(len(seen) + 1))
-    symbol[letter] = len(seen) + 1
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    width = min(len(seen), ALPHABET) + 1
-    names, tables, rare, sizes = [], [], [], []
-    for name, found in texts.items():
-        parts = [letters_only(symbol[t]) for t in found]
-        pieces = [p[at : at + PIECE] for p in parts for at in range(0, len(p), PIECE)]
-        order = np.random.default_rng(42).permutation(len(pieces))
-        flat = np.concatenate([symbol[:0], *(pieces[k] for k in order[: SAMPLE_LETTERS])])[:SAMPLE_LETTERS]
-        if flat.any():
-            names.append(name)
-            table, arcs = automaton(flat, width)
-            tables.append(table.ravel())
-            rare.append(arcs)
-            sizes.append(len(flat))
-    return Languages(names, symbol, tables, width, rare, sizes)
-
-
-def follow(state: np.ndarray, c: np.ndarray, table: np.ndarray, width: int, rare: Arcs | None) -> np.ndarray:
-    """States reached by an arc each, or -1."""
-    if rare is None:
-        return table[state * width + c]
-    sparse = np.flatnonzero(c >= width)
-    if not len(sparse):
-        return table[state * width + c]
-    to = table[state * width + np.where(c < width, c, 0)]
-    to[sparse] = rare.follow(state[sparse], c[sparse])
-    return to
-
-
-def phrase_counts(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray, width: int, rare: Arcs | None = None) -> np.ndarray:
-    """Phrases that each piece needs; ``pieces`` is (letters, pieces), longest piece first.
-
-    ``rare`` has the arcs by symbols from ``width`` on, if there are such symbols.
+    pieces = {name: [code_points(p) for p in found] for name, found in sorted(samples.items())}
+    seen = np.unique(np.concatenate([np.zeros(0, "<u4"), *(p[letter[p]] for found in pieces.values() for p in found)]))
+    unseen, joint = len(seen) + 1, len(seen) + 2
+    symbol = np.zeros(0x110000, np.int32)
+    symbol[letter] = unseen
+    symbol[seen] = np.arange(1, unseen)
+    names, automata, dearest = [], [], []
+    for name, found in pieces.items():
+        order = np.random.default_rng(42).permutation(len(found))
+        parts, kept, size = [], [], 0
+        for n, k in enumerate(order.tolist()):
+            if n % CALIBRATION == CALIBRATION - 1:
+                kept.append(letters_only(symbol[found[k]]))
+            elif size < SAMPLE_LETTERS:
+                part = letters_only(symbol[found[k]])[: SAMPLE_LETTERS - size]
+                parts += [part, np.array([joint], np.int32)]
+                size += len(part)
+        if not any(p.any() and (p != joint).any() for p in parts):
+            continue
+        machine = automaton(np.concatenate(parts), joint + 1)
+        names.append(name)
+        automata.append(machine)
+        kept = [p for p in kept if len(p) >= LEAST_LETTERS]
+        cost = phrase_counts(kept, machine) * bits(machine) / np.array([len(p) for p in kept]) if kept else np.array([np.inf])
+        dearest.append(MARGIN * float(cost.max()))
+    return Languages(names, symbol, automata, np.array(dearest))
+
+
+def bits(machine: Automaton) -> float:
+    """Bits that say where in the language's text a phrase lies."""
+    return float(np.log2(machine.letters + 1))
+
+
+def walk(machine: Automaton, flat: np.ndarray, start: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walks in step, each from a phrase that begins at ``start``.
+
+    Returns how many phrases each begins before ``stop``, and where the first one after that begins (``end`` if none does).
     """
-    state = np.zeros(pieces.shape[1], np.int64)
-    phrases = np.ones(pieces.shape[1], np.int64)
-    alone = np.zeros(pieces.shape[1], bool)  # the last letter was one that the language lacks: a phrase by itself
-    active = np.searchsorted(-lengths, -np.arange(pieces.shape[0]), side="left")  # pieces longer than each step
-    for step, n in enumerate(active.tolist()):
-        c = pieces[step, :n]
-        to = follow(state[:n], c, table, width, rare)
-        ended = np.flatnonzero((to < 0) | alone[:n])
-        if len(ended):
-            phrases[ended] += step > 0
-            again = follow(np.zeros(len(ended), np.int64), c[ended], table, width, rare)  # the letter begins the next phrase
-            alone[ended] = again < 0
-            to[ended] = np.maximum(again, 0)
-        state[:n] = to
-    return phrases
-
-
-def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndarray]:
-    """Predicted language and confidence of each text."""
+    phrases, exit_ = np.zeros(len(start), np.int64), np.minimum(start, end)
+    lane = np.flatnonzero((start < stop) & (start < end))
+    at, state = start[lane].copy(), np.zeros(len(lane), np.int64)
+    stop, end = stop[lane], end[lane]
+    while len(lane):
+        c = flat[at]
+        to = machine.follow(state, c)
+        new = np.flatnonzero((to < 0) | (state == 0))  # a phrase begins here
+        over = at[new] >= stop[new]
+        phrases[lane[new[~over]]] += 1
+        # A letter that the language lacks is a phrase by itself.
+        to[new] = np.maximum(machine.follow(np.zeros(len(new), np.int64), c[new]), 0)
+        at += 1
+        at[new[over]] -= 1
+        gone = at >= end
+        gone[new[over]] = True
+        state = to
+        if gone.any():
+            exit_[lane[gone]] = at[gone]
+            stay = ~gone
+            lane, at, state, stop, end = lane[stay], at[stay], state[stay], stop[stay], end[stay]
+    return phrases, exit_
+
+
+def walk_alone(machine: Automaton, flat: memoryview, start: int, stop: int, end: int) -> tuple[int, int]:
+    """:func:`walk` for one walk."""
+    base, owner, to = memoryview(machine.base), memoryview(machine.owner), memoryview(machine.to)
+    phrases, state, at = 0, 0, start
+    while at < end:
+        slot = base[state] + flat[at]
+        if state and owner[slot] == state:
+            state = to[slot]
+        else:
+            if at >= stop:
+                break
+            phrases += 1
+            slot = base[0] + flat[at]
+            state = to[slot] if owner[slot] == 0 else 0
+        at += 1
+    return phrases, at
+
+
+def phrase_counts(rows: list[np.ndarray], machine: Automaton) -> np.ndarray:
+    """Phrases that each row of symbols needs, in a greedy parse from its first symbol on."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *rows])
+    begin = np.cumsum(lengths) - lengths
+    n = -(-lengths // STRIDE)
+    row = np.repeat(np.arange(len(rows)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = begin[row] + place * STRIDE
+    end = (begin + lengths)[row]
+    stop = np.minimum(start + STRIDE, end)
+    entry = start.copy()
+    inner = np.flatnonzero(place > 0)
+    entry[inner] = walk(machine, flat, start[inner] - LEAD, start[inner], end[inner])[1]
+    phrases, exit_ = walk(machine, flat, entry, stop, end)
+    wrong = np.unique(row[inner[entry[inner] != exit_[inner - 1]]])
+    view = memoryview(flat)
+    for r in wrong.tolist():  # from its first wrong guess on, a row is checked place by place
+        first = int(np.searchsorted(row, r))
+        at = int(exit_[first])
+        for k in range(first + 1, first + int(n[r])):
+            if entry[k] != at:
+                phrases[k], exit_[k] = walk_alone(machine, view, at, int(stop[k]), int(end[k]))
+            at = int(exit_[k])
+    return np.bincount(row, phrases, len(rows)).astype(np.int64)
+
+
+def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted language, confidence, and whether the text is recognised as written in that language."""
     rows = [letters_only(model.symbol[code_points(t or "")]) for t in texts]
-    cut = [(k, r[at : at + PIECE]) for k, r in enumerate(rows) for at in range(0, len(r), PIECE)]
     has_letter = np.array([bool(r.any()) for r in rows], dtype=bool)
-    total = np.array([len(r) for r in rows], dtype=np.float64)
-    cost = np.zeros((len(model.names), len(rows)))
-    if cut and model.names:
-        lengths = np.array([len(p) for _, p in cut])
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        pieces = np.zeros((int(lengths[0]), len(cut)), model.symbol.dtype)
-        for col, k in enumerate(order.tolist()):
-            pieces[: len(cut[k][1]), col] = cut[k][1]
-        owner = np.array([k for k, _ in cut])[order]
-        for i, table in enumerate(model.tables):
-            phrases = phrase_counts(pieces, lengths, table, model.width, model.rare[i])
-            cost[i] = np.bincount(owner, phrases, len(rows)) * np.log2(model.sizes[i] + 1) / np.maximum(total, 1)
     if not model.names:
-        return [UNDETERMINED] * len(rows), np.zeros(len(rows))
+        return [UNDETERMINED] * len(rows), np.zeros(len(rows)), np.zeros(len(rows), bool)
+    total = np.maximum([len(r) for r in rows], 1).astype(np.float64)
+    cost = np.stack([phrase_counts(rows, m) * bits(m) / total for m in model.automata])
     best = cost.argmin(axis=0)
     at = np.arange(len(rows))
     low = cost[best, at]
@@ -218,40 +297,58 @@ def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndar
     others[best, at] = np.inf
     second = others.min(axis=0) if len(model.names) > 1 else low * 2
     score = np.where(has_letter, 1 - low / np.maximum(second, 1e-12), 0.0)
-    return [model.names[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter, strict=True)], np.clip(score, 0, 1)
+    known = has_letter & ((low <= model.dearest[best]) | (total < LEAST_LETTERS))
+    return [model.names[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter, strict=True)], np.clip(score, 0, 1), known
 
 
 def train(docs: DataFrame, trainable: Column, lang_col: str = "lang", text_col: str = "text") -> Languages:
-    """Automata from the rows for which ``trainable`` holds, with a language and a text that is not null.
+    """Automata from the rows for which ``trainable`` holds, with a language, an id and a text that are not null.
 
-    Bounded sample: ``SAMPLE_DOCUMENTS`` documents of each language (lowest id hashes), of which
-    ``SAMPLE_LETTERS`` letters enter its automaton. A language without letters in its sample is not learned.
+    Bounded sample: ``SAMPLE_DOCUMENTS`` distinct ids of each language (lowest id hashes), of which
+    ``SAMPLE_LETTERS`` letters enter its automaton, from anywhere in the texts. Of rows that repeat an id and
+    language the one with the least text hash counts. A language without letters in its sample is not
+    learned. What reaches the driver grows with the number of languages only.
     """
-    usable = docs.filter(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).alias("lang"))
-    chosen = sample_per_class(ids, "doc_id", "lang", SAMPLE_DOCUMENTS)
+    usable = docs.filter(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col("doc_id").isNotNull())
+    found = usable.select(F.col("doc_id").cast("string").alias("id"), F.col(lang_col).alias("class"), F.col(text_col).alias("text"))
+    chosen = sample_ids(found.select("id", "class"), SAMPLE_DOCUMENTS)
     # SAMPLE_DOCUMENTS short rows for each language: a bounded side.
-    found = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = found.join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    joined = found.join(F.broadcast(chosen), ["id", "class"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter, least = is_letter_table(), {}
+        for part in slices(batches):
+            for i, lang, text in zip(*(part.column(n).to_pylist() for n in ("id", "class", "text")), strict=True):
+                key, rank = (i, lang), xxhash.xxh3_128_hexdigest(text.encode())
+                if key not in least or rank < least[key][0]:
+                    least[key] = (rank, pieces_of(text, letter))
+        columns = [[k[0] for k in least], [k[1] for k in least], [x[0] for x in least.values()], [x[1] for x in least.values()]]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "class", "rank", "pieces"])
+
+    rows = map_batches(joined, cut, "id string, class string, rank string, pieces array<string>")
+    rows = rows.groupBy("class", "id").agg(F.min_by("pieces", "rank").alias("pieces")).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return learn(samples)
+    for r in sorted(rows, key=lambda r: (r["class"], r["id"])):
+        samples.setdefault(r["class"], []).extend(r["pieces"])
+    return learn_pieces(samples)
 
 
 def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` string and ``score`` double (0 to 1: how far the next best language is behind).
+    """Adds ``lang_pred`` string, ``score`` double (0 to 1: how far the next best language is behind), ``recognised`` boolean.
 
     Whole texts are parsed. ``und`` with score 0 where the text is null or has no letter, or no language
-    was learned; ties go to the language that sorts first. Input columns named like the output are
-    replaced. There is no shuffle.
+    was learned; ties go to the language that sorts first. ``recognised`` is false for ``und``, and for texts of
+    ``LEAST_LETTERS`` or more that cost far more bits a letter than sampled text of the language found: such
+    a text is probably in a language that was not learned. Input columns named like the output are
+    replaced. Repeated rows are read each by itself; an empty table gives an empty result. There is no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("recognised", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            names, score = parse(part.column(text_col).to_pylist(), shared.value)
-            yield replace_columns(part, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
+            names, score, known = parse(part.column(text_col).to_pylist(), shared.value)
+            yield replace_columns(part, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "recognised": pa.array(known)})
 
     return map_batches(docs, run, replaced_schema(docs, fields))

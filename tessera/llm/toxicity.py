@@ -1,4 +1,12 @@
-"""Toxicity scores from a factorization machine over hashed terms."""
+"""Toxicity scores from a factorization machine over hashed terms.
+
+Every hashed term of the sample may have a weight and factors; shrinkage, not a choice beforehand, leaves most at
+zero. Weights come first, by logistic regression with an absolute penalty in proportion to the deviation
+that chance gives each term. What is left unexplained is searched for pairs: for all terms with enough
+support, the two-by-two contrast of residuals with both, one and none of them. It sees an interaction whose terms
+tell nothing by themselves. The leading eigenvectors of the contrasts are where the factors start from,
+and weights and factors are then fitted jointly.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +17,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import map_batches, replace_columns, replaced_schema, sample_per_class, slices
+from tessera.llm.common import map_batches, replace_columns, replaced_schema, sample_ids, slices
 
 HASH_BITS = 20
 #: Lengths of the word beginnings that count as terms: inflected and compounded forms share them.
 PREFIXES = (4, 5)
 #: Training documents of each class at most: a bounded sample, drawn by id hash.
 SAMPLE_PER_CLASS = 4000
-#: Hashed terms that take part in the model: those which tell the classes apart best in the sample.
-TERMS = 1024
-#: Fewest sample documents that hold a term.
-LEAST_DOCUMENTS = 5
+#: Penalty of a weight, in standard deviations of the term's gradient under chance.
+SHRINKAGE = 2.0
+#: A pair interacts from so many standard deviations of its contrast on; a term takes part if as many documents
+#: as that number's square have it, and as many lack it.
+PAIR_DEVIATIONS = 8.0
+#: Terms of a block of the search for pairs: bounds the memory of the fit.
+BLOCK_TERMS = 1024
+#: Ridge of the joint fit, and its steps.
+RIDGE, STEPS, RATE = 0.2, 300, 0.03
 FACTORS = 8
-EPOCHS = 12
 #: Distinct white-space-free chunks whose terms a worker remembers.
 CACHE_CHUNKS = 200_000
 _WORD = re.compile(r"\w+")
@@ -64,92 +77,209 @@ class FactorizationMachine:
         return out
 
 
+def logistic(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+@dataclass
+class Incidence:
+    """Which terms documents have, by term: ``docs[starts[k]:ends[k]]`` are the documents of term k."""
+
+    docs: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    n_docs: int
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> tuple[np.ndarray, Incidence]:
+        """The distinct terms, sorted, and their incidence."""
+        flat = np.concatenate([np.zeros(0, np.int64), *documents])
+        terms, flat = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+        ends = np.cumsum(np.bincount(flat, minlength=len(terms)))
+        return terms, cls(owner[np.argsort(flat, kind="stable")], np.append(0, ends)[: len(terms)], ends, len(documents))
+
+    def of_term(self, k: int) -> np.ndarray:
+        return self.docs[self.starts[k] : self.ends[k]]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """By term, the sum of its documents' values."""
+        total = np.append(0.0, np.cumsum(values[self.docs]))
+        return total[self.ends] - total[self.starts]
+
+    def dense(self, terms: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n_docs, len(terms)), np.float32)
+        for col, k in enumerate(terms.tolist()):
+            out[self.of_term(k), col] = 1
+        return out
+
+
+def fit_weights(x: Incidence, y: np.ndarray, penalty: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic regression with absolute penalties, by coordinate steps over the terms that it moves: w0, w, margins."""
+    w, w0 = np.zeros(len(x.starts)), float(np.log(y.mean() / (1 - y.mean())))
+    margin = np.full(x.n_docs, w0)
+    for _ in range(60):
+        slope = x.sums(logistic(margin) - y)
+        excess = np.where(w == 0, np.abs(slope) - penalty, np.abs(slope + np.sign(w) * penalty)) / penalty
+        worst = np.argsort(-excess, kind="stable")[:300]
+        worst = worst[excess[worst] > 1e-3]
+        if not len(worst):
+            break
+        active = np.union1d(np.flatnonzero(w), worst).tolist()
+        columns = [x.of_term(k) for k in active]
+        for _ in range(20):
+            step = -4 * (logistic(margin) - y).mean()
+            w0, margin, largest = w0 + step, margin + step, 0.0
+            for k, docs in zip(active, columns, strict=True):
+                p = logistic(margin[docs])
+                curve = max(float((p * (1 - p)).sum()), 0.02 * len(docs))
+                to = w[k] - float((p - y[docs]).sum()) / curve
+                to = np.sign(to) * max(abs(to) - penalty[k] / curve, 0.0)
+                step = min(2.0, max(-2.0, to - w[k]))
+                if step:
+                    w[k] += step
+                    margin[docs] += step
+                    largest = max(largest, abs(step))
+            if largest < 1e-2:
+                break
+    return w0, w, margin
+
+
+def interacting_pairs(x: Incidence, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of terms whose residuals show an interaction: both terms, and the contrast in standard deviations."""
+    support = x.ends - x.starts
+    least = PAIR_DEVIATIONS**2
+    terms = np.flatnonzero((support >= least) & (x.n_docs - support >= least))
+    r = residual.astype(np.float32)
+    n, s, total, spread = support[terms].astype(np.float32), x.sums(residual)[terms].astype(np.float32), float(residual.sum()), float((residual**2).mean())
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(terms), BLOCK_TERMS):
+        one = x.dense(terms[i : i + BLOCK_TERMS])
+        weighted = one * r[:, None]
+        n1, s1 = n[i : i + BLOCK_TERMS, None], s[i : i + BLOCK_TERMS, None]
+        for j in range(i, len(terms), BLOCK_TERMS):
+            other = one if i == j else x.dense(terms[j : j + BLOCK_TERMS])
+            n2, s2 = n[None, j : j + BLOCK_TERMS], s[None, j : j + BLOCK_TERMS]
+            n11, s11 = one.T @ other, weighted.T @ other
+            counts = (n11, n1 - n11, n2 - n11, x.n_docs - n1 - n2 + n11)
+            sums = (s11, s1 - s11, s2 - s11, total - s1 - s2 + s11)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                contrast = sum(sign * b / a for sign, a, b in zip((1, -1, -1, 1), counts, sums, strict=True))
+                z = contrast / np.sqrt(spread * sum(1 / a for a in counts))
+            z[np.minimum.reduce(counts) < 1] = 0
+            p, q = np.nonzero(np.abs(z) >= PAIR_DEVIATIONS)
+            inside = terms[i + p] < terms[j + q]
+            p, q = p[inside], q[inside]
+            # Residuals of documents with both may spread more than those of all.
+            both = np.array([float((residual[np.intersect1d(x.of_term(a), x.of_term(b), assume_unique=True)] ** 2).mean()) for a, b in zip(terms[i + p], terms[j + q], strict=True)])
+            own = contrast[p, q] / np.sqrt(spread * sum(1 / a[p, q] for a in counts) + np.maximum(0, both - spread) / n11[p, q])
+            strong = np.abs(own) >= PAIR_DEVIATIONS
+            found.append((terms[i + p[strong]], terms[j + q[strong]], own[strong].astype(np.float64)))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k < 2 else np.float64) for k in range(3))
+
+
+def leading_factors(a: np.ndarray, b: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+    """Factors (n, FACTORS) along the most positive eigenvectors of the symmetric matrix with entries z at (a, b)."""
+    shift = float((np.bincount(a, np.abs(z), n) + np.bincount(b, np.abs(z), n)).max()) + 1e-9
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out = shift * v
+        np.add.at(out, a, z[:, None] * v[b])
+        np.add.at(out, b, z[:, None] * v[a])
+        return out
+
+    v = np.random.default_rng(42).normal(size=(n, min(n, FACTORS)))
+    for _ in range(60):
+        v = np.linalg.qr(times(v))[0]
+    strength = np.sqrt(np.maximum((v * times(v)).sum(axis=0) - shift, 0))
+    v = np.pad(v * strength, ((0, 0), (0, FACTORS - v.shape[1])))
+    return 0.5 * v / max(float(np.abs(v).max()), 1e-9)
+
+
+def fit_jointly(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights and factors of the machine by Adam on the whole sample; ``flat`` has the rows of w and v of each document."""
+    at = [np.array([w0]), w, v]
+    mean, square = [np.zeros_like(p) for p in at], [np.zeros_like(p) for p in at]
+
+    def by(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(keys, column, n) for column in values.T], axis=1)
+
+    for step in range(1, STEPS + 1):
+        x = at[2][flat]
+        total = by(owner, x, len(y))
+        margin = at[0][0] + np.bincount(owner, at[1][flat], len(y)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(owner, (x * x).sum(axis=1), len(y)))
+        slope = logistic(margin) - y
+        slopes = [
+            np.array([slope.sum()]),
+            np.bincount(flat, slope[owner], len(w)) + RIDGE * at[1],
+            by(flat, slope[owner][:, None] * (total[owner] - x), len(w)) + RIDGE * at[2],
+        ]
+        for k, g in enumerate(slopes):
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.999 * square[k] + 0.001 * g * g
+            at[k] = at[k] - RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+    return float(at[0][0]), at[1], at[2]
+
+
 def fit(documents: list[np.ndarray], labels: np.ndarray, prior: float) -> FactorizationMachine:
-    """AdaGrad on logistic loss over the sample; ``prior`` is the share of label 1 among all labelled rows."""
+    """The machine for documents given by their terms; ``prior`` is the share of label 1 among all labelled rows.
+
+    All terms of the sample are fitted; those left without weight and factors are not kept.
+    """
     y = labels.astype(np.float64)
     if not len(documents) or y.min() == y.max():
         share = np.clip(prior if len(documents) else 0.0, 1e-3, 1 - 1e-3)
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    size = 1 << HASH_BITS
-    on, off = np.zeros(size), np.zeros(size)
-    for terms, label in zip(documents, y, strict=True):
-        (on if label else off)[terms] += 1
-    # Signed root of the two-class chi-square of having the term.
-    n1, n0 = y.sum(), len(y) - y.sum()
-    pooled = (on + off) / len(y)
-    score = np.abs(on / n1 - off / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
-    score[on + off < LEAST_DOCUMENTS] = 0
-    best = np.argsort(-score, kind="stable")[:TERMS]
-    chosen = np.sort(best[score[best] > 0])
-    row = np.full(size, -1)
-    row[chosen] = np.arange(len(chosen))
-    docs = [r[r >= 0] for r in (row[t] for t in documents)]
-    rng = np.random.default_rng(42)
-    w, v, w0 = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)), 0.0
-    gw, gv, g0 = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    rate, decay = 0.1, 1e-4
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), 64):
-            part = order[at : at + 64]
-            lens = np.array([len(docs[k]) for k in part])
-            flat = np.concatenate([docs[k] for k in part]).astype(np.int64)
-            owner = np.repeat(np.arange(len(part)), lens)
-            x = v[flat]
-            total = np.zeros((len(part), FACTORS))
-            np.add.at(total, owner, x)
-            square = np.zeros(len(part))
-            np.add.at(square, owner, (x * x).sum(axis=1))
-            margin = w0 + np.bincount(owner, w[flat], len(part)) + 0.5 * ((total**2).sum(axis=1) - square)
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]) / len(part)
-            dw = np.zeros_like(w)
-            np.add.at(dw, flat, slope[owner])
-            dv = np.zeros_like(v)
-            np.add.at(dv, flat, slope[owner][:, None] * (total[owner] - x))
-            seen = np.unique(flat)
-            dw, dv = dw[seen] + decay * w[seen], dv[seen] + decay * v[seen]
-            gw[seen] += dw**2
-            gv[seen] += dv**2
-            w[seen] -= rate * dw / np.sqrt(gw[seen])
-            v[seen] -= 0.2 * rate * dv / np.sqrt(gv[seen])
-            g0 += slope.sum() ** 2
-            w0 -= rate * slope.sum() / np.sqrt(g0)
+    terms, x = Incidence.of(documents)
+    share = y.mean()
+    w0, w, margin = fit_weights(x, y, SHRINKAGE * np.sqrt(share * (1 - share) * (x.ends - x.starts)))
+    a, b, z = interacting_pairs(x, y - logistic(margin))
+    active = np.unique(np.concatenate([a, b, np.flatnonzero(w)]))
+    v = np.zeros((len(active), FACTORS))
+    if len(a):
+        v = leading_factors(np.searchsorted(active, a), np.searchsorted(active, b), z, len(active))
+    if len(active):
+        found = [x.of_term(k) for k in active.tolist()]
+        flat = np.repeat(np.arange(len(active)), [len(d) for d in found])
+        w0, w, v = fit_jointly(flat, np.concatenate(found), y, w0, w[active], v)
     # The sample holds the classes in other shares than the labelled rows do.
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
-    w0 += np.log(prior / (1 - prior)) - np.log(n1 / n0)
-    return FactorizationMachine(chosen, float(w0), w, v)
+    w0 += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    return FactorizationMachine(terms[active], float(w0), w[: len(active)], v)
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms of the sampled documents; of rows that repeat an id the one with the least text hash."""
+    least: dict[int, tuple[str, list[int], int]] = {}
     for part in slices(batches):
-        found = [sorted({t for c in set((x or "").lower().split()) for t in chunk_terms(c)}) for x in part.column("text").to_pylist()]
-        terms = pa.array(found, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), terms, part.column("label")], names=["doc_id", "terms", "label"])
+        for i, text, label in zip(*(part.column(n).to_pylist() for n in ("id", "text", "label")), strict=True):
+            rank = xxhash.xxh3_128_hexdigest((text or "").encode())
+            if i not in least or rank < least[i][0]:
+                least[i] = (rank, sorted({t for c in set((text or "").lower().split()) for t in chunk_terms(c)}), label)
+    columns = [list(least), *([x[k] for x in least.values()] for k in range(3))]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "rank", "terms", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, label_col: str = "toxic") -> FactorizationMachine:
     """Fit on labelled documents for which ``trainable`` (of ``labels``' doc_id) holds.
 
     Labels are 0 or 1; other values and nulls are passed over, repeated label rows of an id count as 1 if
-    any says so, repeated documents count each. The fit itself sees ``SAMPLE_PER_CLASS`` documents of
-    each class at most (lowest id hashes); class shares come from all labels. With no label, or one
-    class only, the model is a constant.
+    any says so; of repeated documents the one with the least text hash counts. The fit itself sees
+    ``SAMPLE_PER_CLASS`` documents of each class at most (lowest id hashes); class shares come from all
+    labels. With no label, or one class only, the model is a constant. What reaches the driver is bounded by
+    the sample, whatever the number of rows and repeats.
     """
     known = labels.filter(trainable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = sample_per_class(known, "doc_id", "label", SAMPLE_PER_CLASS)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("class"))
+    shares = {r["class"]: r["n"] for r in known.groupBy("class").agg(F.count("*").alias("n")).collect()}
     # At most twice SAMPLE_PER_CLASS ids of a few bytes: a bounded side.
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = map_batches(joined.select("doc_id", "text", "label"), _document_terms, "doc_id long, terms array<int>, label int").toArrow()
-    terms = rows.column("terms").combine_chunks()
-    terms = terms if isinstance(terms, pa.ListArray) else pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
-    flat, ends = terms.flatten().to_numpy(), np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))
-    found = [np.asarray(x, dtype=np.int64) for x in np.split(flat, ends[:-1])] if len(ends) else []
-    y = np.array(rows.column("label").to_pylist(), dtype=np.int64)
-    order = np.argsort(np.array(rows.column("doc_id").to_pylist(), dtype=np.int64), kind="stable")
-    prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    return fit([found[k] for k in order], y[order], prior)
+    sample = F.broadcast(sample_ids(known, SAMPLE_PER_CLASS).withColumnRenamed("class", "label"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sample, "id")
+    rows = map_batches(joined.select("id", "text", "label"), _document_terms, "id long, rank string, terms array<int>, label int")
+    rows = rows.groupBy("id").agg(F.min_by("terms", "rank").alias("terms"), F.max("label").alias("label")).toArrow().sort_by("id")
+    found = [np.asarray(t, np.int64) for t in rows.column("terms").to_numpy()]
+    return fit(found, np.array(rows.column("label").to_pylist(), dtype=np.int64), shares.get(1, 0) / max(1, sum(shares.values())))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
