@@ -29,11 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decide(docs, ("score", "predicted"), lambda d: toxicity.score(d, model).filter("predicted = 0"))
 
 
-def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; those without any letter go."""
+def drop_unrecognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; texts without a letter or in another language go."""
     model = language.train(docs, F.lit(True))
-    found = F.col("lang_pred") != language.UNDETERMINED
-    return decide(docs, ("lang_pred", "score"), lambda d: language.identify(d, model).filter(found))
+    return decide(docs, ("lang_pred", "score", "recognised"), lambda d: language.identify(d, model).filter("recognised"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("language_id", drop_undetermined),
+    ("language_id", drop_unrecognised),
     ("simhash_near_dedup", drop_near_duplicates),
     ("source_mixing", mix),
     ("bpe", tokenize),
