@@ -4,10 +4,12 @@ A 64-bit fingerprint is cut into three segments of 21, 21 and 22 bits, each read
 perfect binary Golay code of length 23. Decoding maps a segment to the index of the one codeword
 within three bits; decoding all words within one bit of a segment gives its fuzzy keys, six at most.
 
-Pigeonhole: of three errors over three segments, the two least hit segments have at most one error
-each. So for two fingerprints within three bits there is a pair of segments in which the exact keys
-of either are among the fuzzy keys of the other. Joining exact key pairs (24 bits and the pair's
-number) to fuzzy key pairs yields every linked pair; the join condition verifies the distance.
+Pigeonhole of three errors over three segments. Either some segment has none; then of the other two one has
+at most one: the key is the exact segment with the Golay index of the other, 33 or 34 bits. Or each
+segment has just one error; then one half of each is exact, and the parities of all three differ: the key
+is three halves and the parities, 34 or 35 bits. Joining exact keys to the keys of the other side yields every
+linked pair; the join condition verifies the distance. With 2^33 keys even 10^9 fingerprints meet few
+others by chance.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ HASH_SEED = 42
 MAX_BITS = 3
 #: Shift and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Pairs of segments: one without errors, one with at most one.
+ORDERS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -105,30 +109,40 @@ def golay_keys(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key rows of fingerprints: the exact key pair, and the fuzzy ones above it.
+    """Key rows of fingerprints, some 27 each: their exact keys, and those that meet others' exact keys.
 
-    Of two fingerprints with different exact keys, the one with the smaller key meets the other as a
-    fuzzy row, so fuzzy keys below the own exact key are not needed.
+    Of two fingerprints with different Golay indices, the one with the smaller index meets the other as a
+    fuzzy row, so fuzzy keys below the own index are not needed. Where each segment has an error, the
+    fingerprint whose first segment is even is the exact side, and the other one gives the parities that
+    it looks for.
     """
     for part in slices(batches, 4096):
         signed = part.column("bits").to_numpy(zero_copy_only=False)
         node = part.column("node").to_numpy(zero_copy_only=False)
-        segments = golay_keys(signed.view(np.uint64))
-        for number, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            exact = (number << 24) | (segments[i][0] << 12) | segments[j][0]
-            left = [np.where(np.arange(k.shape[1]) == _first(k), k, -1) for k in (segments[i][1], segments[j][1])]
-            row, key = _pairs(left[0], left[1], number)
-            more = key > exact[row]
-            row, key = row[more], key[more]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([exact, key]).astype(np.int32), pa.int32()),
-                    pa.array(np.concatenate([np.ones(len(exact), bool), np.zeros(len(key), bool)]), pa.bool_()),
-                    pa.array(np.concatenate([signed, signed[row]]), pa.int64()),
-                    pa.array(np.concatenate([node, node[row]]), pa.int64()),
-                ],
-                names=["key", "exact", "bits", "node"],
-            )
+        prints = signed.view(np.uint64)
+        words = [((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
+        golay = golay_keys(prints)
+        fuzzy = [np.nonzero((np.arange(k.shape[1]) == _first(k)) & (k > own[:, None])) for own, k in golay]
+        for number, (i, j) in enumerate(ORDERS):
+            head = (number << 40) | (words[i] << 12)
+            row, col = fuzzy[j]
+            key = np.concatenate([head | golay[j][0], head[row] | golay[j][1][row, col]])
+            yield _key_rows(key, np.arange(len(key)) < len(head), np.concatenate([signed, signed[row]]), np.concatenate([node, node[row]]))
+        parity = [np.bitwise_count(w).astype(np.int64) & 1 for w in words]
+        wanted = ((parity[1] << 1) | parity[2]) ^ (3 * parity[0])
+        for choice in range(8):
+            key = ((len(ORDERS) + choice) << 40) | (wanted << 33)
+            at = 0
+            for k, (word, (_, bits)) in enumerate(zip(words, SEGMENTS, strict=True)):
+                low = bits // 2
+                upper = choice >> k & 1
+                key = key | ((word >> low if upper else word & ((1 << low) - 1)) << at)
+                at += bits - low if upper else low
+            yield _key_rows(key, parity[0] == 0, signed, node)
+
+
+def _key_rows(key: np.ndarray, exact: np.ndarray, bits: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(exact, pa.bool_()), pa.array(bits, pa.int64()), pa.array(node, pa.int64())], names=["key", "exact", "bits", "node"])
 
 
 def _first(keys: np.ndarray) -> np.ndarray:
@@ -142,25 +156,15 @@ def _first(keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """All combinations of the keys (not -1) of a row's two segments: row numbers and composite keys."""
-    rows, keys = [], []
-    for i in range(a.shape[1]):
-        at = np.flatnonzero(a[:, i] >= 0)
-        row, col = np.nonzero(b[at] >= 0)
-        rows.append(at[row])
-        keys.append((number << 24) | (a[at[row], i] << 12) | b[at[row], col])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Links (u, v) between the nodes of distinct fingerprints that differ in ``MAX_BITS`` bits or fewer.
 
     ``prints`` has one row for each distinct fingerprint: bits long, node long. A link may be given
     more than once. Fingerprints that are all within three bits of one another are few by nature (a
-    ball of that radius has 43,745), so no key gathers an unbounded set of mutually linked rows.
+    ball of that radius has 43,745), so no key gathers an unbounded set of mutually linked rows; rows that
+    share a key by chance are one in 2^33, and a key that many share is split by adaptive execution.
     """
-    keys = map_batches(prints.select("bits", "node"), _expand, "key int, exact boolean, bits long, node long")
+    keys = map_batches(prints.select("bits", "node"), _expand, "key long, exact boolean, bits long, node long")
     keys = materialize(keys, "simhash-keys")
     a = keys.filter("exact").select("key", F.col("bits").alias("a"), F.col("node").alias("u"))
     b = keys.select("key", "exact", F.col("bits").alias("b"), F.col("node").alias("v"))
@@ -198,10 +202,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each near-duplicate group kept: the one with the smallest id.
 
-    All columns of ``docs`` stay as they are. Of rows that repeat the kept id, one stays (which one is
-    not specified). Rows with a null id cannot be named as copies: they all stay.
+    All columns of ``docs`` stay as they are. Of rows that repeat the kept id, the first by text, then by
+    the other columns that can be ordered, stays. Rows with a null id cannot be named as copies: they all
+    stay. An empty table gives an empty result. The choice is made on ids; texts are shuffled once, to
+    meet the chosen ids, and only those of ids that repeat are looked at again.
     """
     groups = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__component"))
-    chosen = groups.groupBy("__component").agg(F.min("__id").alias("__keep")).filter("__keep IS NOT NULL").select("__keep")
-    kept = docs.join(materialize(chosen, "simhash-kept"), F.col(id_col) == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    per_id = groups.groupBy("__id").agg(F.min("__component").alias("__component"), F.count("*").alias("__rows"))
+    first = F.min(F.struct("__id", "__rows")).alias("__first")
+    chosen = per_id.filter("__id IS NOT NULL").groupBy("__component").agg(first).select("__first.*")
+    chosen = materialize(chosen, "simhash-kept")
+    single = docs.join(chosen.filter("__rows = 1"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    repeated = chosen.filter("__rows > 1")
+    if not repeated.take(1):
+        return single
+    ordered = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, text_col)]
+    rows = docs.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
+    rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.struct(text_col, *ordered)).alias("__row"))
+    return single.unionByName(rows.select("__row.*"))

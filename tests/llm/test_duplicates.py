@@ -69,6 +69,31 @@ def test_every_link_is_a_candidate(spark):
     assert {tuple(r) for r in got} == want and len(want) > 100
 
 
+def test_every_pattern_of_errors_meets_by_a_key(spark):
+    """One base and a partner for each way to spread three errors or fewer over the segments."""
+    rng, pairs = np.random.default_rng(5), []
+    for counts in [(a, b, c) for a in range(4) for b in range(4) for c in range(4) if 0 < a + b + c <= 3]:
+        for _ in range(12):
+            base = other = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+            for (shift, bits), n in zip(simhash.SEGMENTS, counts, strict=True):
+                for bit in rng.choice(bits, n, replace=False).tolist():
+                    other ^= 1 << (shift + bit)
+            pairs.append((base, other))
+    values = [x for p in pairs for x in p]
+    nodes = np.array(values, np.uint64).view(np.int64).tolist()
+    links = simhash.fingerprint_links(spark.createDataFrame(list(zip(nodes, range(len(nodes)), strict=True)), "bits long, node long"))
+    got = {(min(r), max(r)) for r in links.collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(len(pairs))}
+
+
+def test_keep_one_chooses_among_repeated_ids_by_text_then_columns(spark):
+    rows = [(1, "b b b", "x", {"k": 1}), (1, "a a a", "z", {"k": 2}), (1, "a a a", "y", {"k": 3}), (2, "q r s t", "w", None), (None, "a a a", "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>")
+    for parts in (1, 5):
+        got = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in simhash.keep_one(docs.repartition(parts)).collect())
+        assert got == [(0, "a a a", "n"), (1, "a a a", "y"), (2, "q r s t", "w")]
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     vocab = [f"w{k}é" for k in range(400)]
