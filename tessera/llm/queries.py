@@ -142,6 +142,25 @@ def _escaped(column: str) -> str:
     return rf"replace(replace(replace(coalesce({column}, ''), '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')"
 
 
+OP2_SQL = f"""
+WITH RECURSIVE vectors AS (
+    SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (
+    SELECT r, vec_id, label, list_transform(v, lambda x: x / n) AS v FROM (
+        SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM vectors
+        WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    WHERE n > 0),
+links AS (
+    SELECT a.r, b.r AS s FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) >= {vector_dedup.MIN_COSINE}),
+steps AS (SELECT DISTINCT a.vec_id AS u, b.vec_id AS w FROM links JOIN usable a ON a.r = links.r JOIN usable b ON b.r = links.s),
+reach AS (SELECT u, w FROM steps UNION SELECT reach.u, steps.w FROM reach JOIN steps ON reach.w = steps.u),
+low AS (SELECT u, min(w) AS w FROM reach GROUP BY u),
+counts AS (SELECT r, count(*) AS n FROM links GROUP BY r)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(w, vec_id)) AS component_id, vec_id IS NULL OR vec_id = least(vec_id, coalesce(w, vec_id)) AS kept
+FROM vectors LEFT JOIN counts USING (r) LEFT JOIN low ON low.u = vec_id
+"""
+
 OP3_SQL = rf"""
 WITH rows AS (
     SELECT conv_id, turn, role, text FROM conversations
@@ -235,4 +254,4 @@ SELECT record_id, CASE WHEN url IS NOT NULL THEN t.id END AS target_id, verdict,
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op5_host_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op10_revisits": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_vectors": OP2_SQL, "op3_chat": OP3_SQL, "op5_host_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op10_revisits": OP10_SQL}

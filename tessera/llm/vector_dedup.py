@@ -27,8 +27,10 @@ from tessera.llm.components import components
 
 MIN_COSINE = 0.98
 BLOCK_DIMS = 8
-#: Rows of a cell's chunk, on average: bounds what one comparison holds.
-CHUNK_ROWS = 1024
+#: Rows of a cell's chunk, on average: bounds what one task holds. A cell of n rows is sent n / CHUNK_ROWS times.
+CHUNK_ROWS = 16_384
+#: Rows of a chunk that are compared at a time.
+TILE_ROWS = 1024
 #: Added to budgets and radii, so that rounding never loses a pair; the exact check decides.
 SLACK = 1e-7
 
@@ -129,8 +131,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     ``vectors`` has vec_id, embedding (array of numbers), label. One row per input row: vec_id, n_links
     long (other rows linked directly), component_id long (smallest vec_id reachable, the own included),
     kept boolean (vec_id = component_id). Vectors that are null, empty, zero, or hold nulls or non-finite
-    numbers, and those with a null label or id, link with nothing; vectors of different lengths never
-    link. Equal vectors of a label are compared once and count for all their rows, so copies cost no
+    numbers, and those with a null label or id, link with nothing (a null id has a null component and is kept);
+    vectors of different lengths never link. Equal vectors of a label are compared once and count for all their rows, so copies cost no
     comparisons. Rows that repeat a vec_id are vectors of their own and share a component. Extra columns
     are not carried. An empty table gives an empty result.
     """
@@ -139,7 +141,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
     rows = materialize(rows, "vectors")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min("vec_id").alias("node"), F.max("vec_id").alias("_high"), F.count("*").alias("copies"), F.min("label").alias("label"), F.min("dims").alias("dims"), F.min("vector").alias("vector")
+        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("label").alias("label"), F.min("dims").alias("dims"), F.min("vector").alias("vector")
     )
     classes = materialize(classes, "vector-classes")
     rotations = _rotations(classes)
@@ -149,7 +151,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     ids = classes.select("key", "node")
     # Ends of forest links are class keys; an id that several classes hold ties them together by itself.
     edges = found.filter("root IS NOT NULL").select("node", "root")
-    ties = rows.filter("key IS NOT NULL").join(ids, "key").filter("vec_id <> node").select(F.col("vec_id").alias("node"), F.col("node").alias("root"))
+    held = rows.filter("key IS NOT NULL").select("vec_id", "key")
+    several = held.groupBy("vec_id").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high")).filter("low <> high").select("vec_id")
+    ties = held.join(several, "vec_id").join(ids, "key").select(F.col("vec_id").alias("node"), F.col("node").alias("root"))
     group = components(edges.union(ties), "node", "root")
     named = ids.join(linked, "key", "left").join(classes.select("key", "copies"), "key")
     named = named.join(group.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
@@ -160,7 +164,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     out = rows.join(named, F.col("key") == F.col("_key"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
     )
 
 
@@ -280,27 +284,11 @@ def compare_group(group: pa.RecordBatch, rotations: dict[int, Rotation]) -> tupl
     turn = rotations[d]
     x = unit(group.column("vector").to_pylist(), d)
     y = x @ turn.blocks[b]
-    square = (y * y).sum(axis=1)
-    apart = square[left][:, None] + square[right][None, :] - 2 * (y[left] @ y[right].T)
-    near = (apart <= turn.budgets[b] + SLACK) & (own[left][:, None] | own[right][None, :])
-    if low == high:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    if not len(i):
-        return None
-    i, j = left[i], right[j]
-    good = np.zeros(len(i), bool)
-    for at in range(0, len(i), 8192):
-        p, q = i[at : at + 8192], j[at : at + 8192]
-        cosine = np.einsum("ij,ij->i", x[p], x[q])
-        linked = np.flatnonzero(cosine >= MIN_COSINE)
-        diff = x[p[linked]] - x[q[linked]]
-        inside = [((diff @ axes) ** 2).sum(axis=1) <= budget for axes, budget in zip(turn.blocks[: b + 1], turn.budgets, strict=False)]
-        first = inside[b]  # and no earlier block within its budget, which has counted the pair
-        for earlier in inside[:b]:
-            first &= ~earlier
-        good[at + linked[first]] = True
-    i, j = i[good], j[good]
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in range(0, len(left), TILE_ROWS):
+        for q in range(p if low == high else 0, len(right), TILE_ROWS):
+            ends.append(_tile(x, y, own, left[p : p + TILE_ROWS], right[q : q + TILE_ROWS], low == high and p == q, turn, b))
+    i, j = (np.concatenate([e[k] for e in ends]) for k in range(2))
     if not len(i):
         return None
     copies, node = group.column("copies").to_numpy(), group.column("node").to_numpy()
@@ -317,3 +305,24 @@ def compare_group(group: pa.RecordBatch, rotations: dict[int, Rotation]) -> tupl
     keys = group.column("key").to_pylist()
     return [keys[k] for k in with_links], node[with_links].tolist(), n[with_links].astype(np.int64).tolist(), node[root[with_links]].tolist()
 
+
+def _tile(x: np.ndarray, y: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, turn: Rotation, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links between some rows and others; ``same`` if they are the same rows."""
+    apart = (y[left] ** 2).sum(axis=1)[:, None] + (y[right] ** 2).sum(axis=1)[None, :] - 2 * (y[left] @ y[right].T)
+    near = (apart <= turn.budgets[b] + SLACK) & (own[left][:, None] | own[right][None, :])
+    if same:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    i, j = left[i], right[j]
+    good = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        p, q = i[at : at + 8192], j[at : at + 8192]
+        cosine = np.einsum("ij,ij->i", x[p], x[q])
+        linked = np.flatnonzero(cosine >= MIN_COSINE)
+        diff = x[p[linked]] - x[q[linked]]
+        inside = [((diff @ axes) ** 2).sum(axis=1) <= budget for axes, budget in zip(turn.blocks[: b + 1], turn.budgets, strict=False)]
+        first = inside[b]  # and no earlier block within its budget, which has counted the pair
+        for earlier in inside[:b]:
+            first &= ~earlier
+        good[at + linked[first]] = True
+    return i[good], j[good]

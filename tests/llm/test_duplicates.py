@@ -139,6 +139,7 @@ def brute_vectors(rows):
 @pytest.mark.parametrize("chunk_rows", [1024, 7])
 def test_vectors_equal_brute_force(spark, monkeypatch, chunk_rows):
     monkeypatch.setattr(vector_dedup, "CHUNK_ROWS", chunk_rows)
+    monkeypatch.setattr(vector_dedup, "TILE_ROWS", 5)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 20))
     rows = []
@@ -162,4 +163,4 @@ def test_vector_edges(spark):
     rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (9, [0.0, 2.0], 1), (8, [2.0, 0.0], 1)]
     got = vector_dedup.near_vectors(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"]) == [(3, 1, 3), (3, 1, 3), (8, 1, 3), (9, 1, 3)]
-    assert [(r["n_links"], r["component_id"]) for r in got if r["vec_id"] is None] == [(0, None)]
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, True)]
