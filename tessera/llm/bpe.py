@@ -31,6 +31,10 @@ from tessera.llm.common import map_batches, replace_columns, replaced_schema, sl
 CACHE_CHUNKS = 130_000
 
 
+#: (state, token) pairs whose arcs the automaton's transition table holds at most; it is emptied when full.
+TABLE_ARCS = 1 << 20
+
+
 class Remembered(dict):
     """Results by key, in two generations: what was used lately survives when memory is full.
 
@@ -162,6 +166,8 @@ class TokenizationAutomaton:
                     key = state << 20 | token
                     ok = table.get(key)
                     if ok is None:
+                        if len(table) >= TABLE_ARCS:
+                            table.clear()
                         ok = table[key] = self.allows(state, token)
                     if ok:
                         states[j + 1], back[j + 1] = target[token], (i, token)
@@ -261,7 +267,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", dige
 
     A null text counts as empty; an empty text, or one of white space only, has no ids and decodes to
     the empty string. Repeated rows are encoded each by itself. There is no shuffle: rows stay where
-    they are. The vocabulary is read on the driver (a few MB whatever the corpus) and broadcast;
+    they are; an empty table gives an empty result. The vocabulary is read on the driver (a few MB whatever the corpus) and broadcast;
     workers compile it once. Its memory of encoded chunks is bounded and affects speed only.
     """
     with open(vocabulary, "rb") as f:
