@@ -65,28 +65,47 @@ def with_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def host_verdicts(ruled: DataFrame, host_col: str) -> DataFrame:
     """One row per host: host, host_docs, host_failed (long), host_rate double, host_kept boolean.
 
-    The failure rate is shrunk towards all hosts' mean by a beta prior whose mean and weight are those
-    of the hosts' rates (method of moments, each host weighted by its documents), so a host of few
-    documents is judged mostly by the prior. A null host is a host of its own.
+    The failure rate is shrunk towards all hosts' mean by a beta prior fitted by beta-binomial moments: the
+    weighted square deviations of the hosts' rates, less what binomial sampling alone would give them, tell how
+    far the hosts' true rates spread. So hosts of few documents that differ by chance get a heavy prior, and a
+    host is rejected on evidence of its own only. ``PRIOR_WEIGHT`` bounds the prior's weight; where nothing is
+    left above sampling, it is the upper bound. A null host is a host of its own; an empty table gives no rows.
     """
     per = ruled.groupBy(F.col(host_col).alias("host")).agg(
         F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
     )
     per = materialize(per, "hosts")
     rate = F.col("host_failed") / F.col("host_docs")
-    # One row over all hosts; sums of exact counts and of n * rate^2.
+    # One row over all hosts.
     row = per.agg(
-        F.sum("host_docs").alias("n"), F.sum("host_failed").alias("k"), F.sum(F.col("host_docs") * rate * rate).alias("q")
+        F.count("*").alias("hosts"),
+        F.sum("host_docs").alias("n"),
+        F.sum("host_failed").alias("k"),
+        F.sum(F.col("host_docs") * rate * rate).alias("q"),
+        F.sum(F.col("host_docs").cast("double") * F.col("host_docs")).alias("s"),
     ).first()
-    n, k, q = row["n"] or 0, row["k"] or 0, row["q"] or 0.0
-    mean = k / n if n else 0.0
-    spread = q / n - mean * mean if n else 0.0
-    low, high = PRIOR_WEIGHT
-    weight = min(high, max(low, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else high
+    mean, weight = prior_moments(row["hosts"] or 0, row["n"] or 0, row["k"] or 0, row["q"] or 0.0, row["s"] or 0.0)
     shrunk = (F.col("host_failed") + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight))
     return per.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= F.lit(MOST_HOST_FAILURES))
 
 
+def prior_moments(hosts: int, n: int, k: int, q: float, s: float) -> tuple[float, float]:
+    """Mean and weight of the beta prior of ``hosts`` hosts with ``n`` documents, ``k`` of them failed.
+
+    ``q`` is the sum of documents * rate^2 and ``s`` that of documents^2 over hosts. With intra-host correlation
+    rho = 1 / (weight + 1), the expected sum of documents * (rate - mean)^2 is
+    mean (1 - mean) (hosts - 1 + rho (n - s / n - hosts + 1)).
+    """
+    low, high = PRIOR_WEIGHT
+    mean = k / n if n else 0.0
+    chance = mean * (1 - mean)
+    room = n - s / n - (hosts - 1) if n else 0.0
+    if chance <= 0 or room <= 0:
+        return mean, high
+    rho = ((q - n * mean * mean) / chance - (hosts - 1)) / room
+    return mean, min(high, max(low, 1 / rho - 1)) if rho > 1e-12 else high
+
+
 def judge(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rule counts, ``base_failed``, the host's shrunk ``host_rate`` and ``kept`` for each row.
 

@@ -78,5 +78,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: every row ``copies`` times (rows with none go)."""
+    """The mixed corpus: every row ``copies`` times. Rows with none, or null, go; an empty table gives an empty result."""
     return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("copies")))).drop("__copy")

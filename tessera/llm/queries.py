@@ -194,11 +194,14 @@ counts AS (
 failed AS (
     SELECT *, n_words < {host_quality.LEAST_WORDS} OR 100 * n_repeat_words > {host_quality.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM counts),
 hosts AS (SELECT source, count(*) AS n, sum(base_failed::BIGINT)::BIGINT AS k FROM failed GROUP BY source),
+moments AS (
+    SELECT count(*) AS h, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, sum(n * (k / n) * (k / n)) AS q, sum(n::DOUBLE * n) AS s FROM hosts),
 prior AS (
-    SELECT sum(k) / sum(n) AS m, sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS v FROM hosts),
+    SELECT k / n AS m, k / n * (1 - k / n) AS c, n - s / n - (h - 1) AS room, q - n * (k / n) * (k / n) AS dev, h FROM moments),
+correlated AS (SELECT m, CASE WHEN c > 0 AND room > 0 THEN (dev / c - (h - 1)) / room ELSE 0 END AS rho FROM prior),
 weighed AS (
-    SELECT m, CASE WHEN v > 1e-12 THEN least({host_quality.PRIOR_WEIGHT[1]}, greatest({host_quality.PRIOR_WEIGHT[0]}, m * (1 - m) / v - 1))
-        ELSE {host_quality.PRIOR_WEIGHT[1]} END AS s FROM prior),
+    SELECT m, CASE WHEN rho > 1e-12 THEN least({host_quality.PRIOR_WEIGHT[1]}, greatest({host_quality.PRIOR_WEIGHT[0]}, 1 / rho - 1))
+        ELSE {host_quality.PRIOR_WEIGHT[1]} END AS s FROM correlated),
 verdicts AS (SELECT source, (k + m * s) / (n + s) <= {host_quality.MOST_HOST_FAILURES} AS host_kept FROM hosts, weighed)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
@@ -227,11 +230,19 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate -
 """
 
 OP10_SQL = r"""
-WITH canon AS (
-    SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
-        || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-            url, '^[A-Za-z]+://[^/?#]*', ''), '#.*$', ''), '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url
-    FROM pages),
+WITH parts AS (
+    SELECT page_id, html, url, string_split(regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*:)?//', ''), '#')[1] AS plain FROM pages),
+cut AS (
+    SELECT page_id, html, string_split(plain, '?')[1] AS place, CASE WHEN contains(plain, '?') THEN plain[strpos(plain, '?') + 1:] ELSE '' END AS query FROM parts),
+kept AS (
+    SELECT page_id, html, string_split(place, '/')[1] AS host, place[len(string_split(place, '/')[1]) + 1:] AS path,
+        rtrim(array_to_string(list_filter(string_split(query, '&'), lambda p: NOT starts_with(p, 'utm_')), '&'), '&') AS query FROM cut),
+named AS (
+    SELECT page_id, html, path, query, CASE WHEN starts_with(lower(host), 'www.') THEN lower(host)[5:] ELSE lower(host) END AS host FROM kept),
+canon AS (
+    SELECT page_id, html, CASE WHEN host LIKE '%:80' THEN host[:-4] WHEN host LIKE '%:443' THEN host[:-5] ELSE host END
+        || CASE WHEN query = '' THEN CASE WHEN path LIKE '%/' THEN path[:-2] ELSE path END
+            ELSE path || '?' || CASE WHEN query LIKE '%/' THEN query[:-2] ELSE query END END AS url FROM named),
 recs AS (
     SELECT page_id, url, page_id * 2 AS record_id, page_id * 10 AS ts, 200 AS status, '"' || md5(coalesce(html, '')) || '"' AS etag,
         'day ' || (page_id % 7) AS modified, NULL::BIGINT AS kind FROM canon

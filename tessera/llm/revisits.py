@@ -16,15 +16,18 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without ``www.``/``m.`` and default port, then path and query.
+    """Host in lower case without ``www.`` and default port, then path and query.
 
-    Scheme, fragment, ``utm_`` parameters and a closing slash are left out. Null stays null.
+    Scheme, fragment, query parameters whose names begin with ``utm_``, a query that is then empty, and a
+    closing slash are left out. A URL without a scheme begins with its host. Null stays null.
     """
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z]+://[^/?#]*", ""), r"#.*$", "")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"(?<=[?&])utm_[a-z]+=[^&]*(&|$)", ""), r"[?&]+$", "")
-    return F.concat(host, F.regexp_replace(rest, r"/$", ""))
+    host = F.lower(F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?([^/?#]*)", 1))
+    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(80|443)$", "")
+    rest = F.regexp_replace(F.regexp_replace(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//)?[^/?#]*", ""), r"#.*$", "")
+    path, query = F.substring_index(rest, "?", 1), F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.startswith("utm_")), "&")
+    kept = F.regexp_replace(kept, r"&+$", "")
+    return F.concat(host, F.when(kept == "", F.regexp_replace(path, r"/$", "")).otherwise(F.concat(path, F.lit("?"), F.regexp_replace(kept, r"/$", ""))))
 
 
 def opaque(etag: Column) -> Column:
