@@ -68,12 +68,13 @@ def segments(spark: SparkSession, start: Sequence[int], count: Sequence[int], sh
 def by_chunk(planned: DataFrame, chunks: DataFrame) -> DataFrame:
     """Segments gathered by chunk, with its address: each chunk is read and decoded once.
 
-    (addr, size, chunk_id, segments array<struct<dst_offset, src_start, src_end>>); a chunk's segments
-    are bounded by its elements.
+    (addr, size, chunk_id, segments array<struct<dst_offset, src_start, src_end>>), and file if ``chunks`` has it; a
+    chunk's segments are bounded by its elements.
     """
     runs = F.array_sort(F.collect_list(F.struct("dst_offset", "src_start", "src_end")))
     grouped = planned.groupBy("chunk_id").agg(runs.alias("segments"))
-    return grouped.join(chunks.select("chunk_id", "addr", "size"), "chunk_id").select("addr", "size", "chunk_id", "segments")
+    where = ["addr", "size", *(["file"] if "file" in chunks.columns else [])]
+    return grouped.join(chunks.select("chunk_id", *where), "chunk_id").select(*where, "chunk_id", "segments")
 
 
 def with_destinations(planned: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ CHUNKS = "file string, part string, group_path string, name string, chunk_id big
 
 #: The attribute for a fill value that a file has apart from its attributes.
 FILL = "_ChunkFill"
+#: The attribute that names unlimited dimensions, with commas between.
+UNLIMITED = "_UnlimitedDims"
 
 
 @dataclass
@@ -68,6 +70,24 @@ class ArraySpec:
             return str(marker).encode()[: self.dtype.size].ljust(self.dtype.size, b"\0")
         return np.array((int if self.dtype.kind in "iu" else float)(marker)).astype(self.dtype.numpy).tobytes()
 
+    @property
+    def unlimited_dims(self) -> list[str]:
+        return [d for d in self.attrs.get(UNLIMITED, "").split(",") if d]
+
+    @property
+    def public_attrs(self) -> dict[str, str]:
+        """Attributes of the variable itself: without missing-data markers and what the catalog adds."""
+        return {k: v for k, v in self.attrs.items() if k not in (FILL, UNLIMITED, "_FillValue", "missing_value", "least_significant_digit")}
+
+    def encoding(self, source: str | None = None) -> dict[str, object]:
+        """How the array is stored."""
+        whole = list(self.chunk_shape) == list(self.shape) and self.gzip is None and not self.shuffle
+        out: dict[str, object] = {
+            "zlib": self.gzip is not None, "complevel": self.gzip or 0, "shuffle": bool(self.shuffle), "contiguous": whole, "chunksizes": None if whole else tuple(self.chunk_shape),
+            "source": source, "original_shape": tuple(self.shape), "dtype": str(self.dtype.numpy), "unlimited_dims": set(self.unlimited_dims),
+        }
+        return out | {k: self.attrs[k] for k in ("_FillValue", "missing_value", "least_significant_digit") if k in self.attrs}
+
     def row(self, file: str) -> tuple:
         scaled = strides(chunk_counts(self.shape, self.chunk_shape))
         return (
@@ -193,9 +213,13 @@ class Catalog:
     # Storage.
 
     def write(self, path: str, mode: str = "errorifexists", source: str = "parquet") -> None:
-        """Store as ``parquet`` (what the data source reads), ``orc`` or ``json``."""
+        """Store as ``parquet`` (what the data source reads), ``orc`` or ``json``.
+
+        Chunk rows are stored in order of array and chunk, so a range of chunks is found by file statistics.
+        """
         self.datasets.write.mode(mode).format(source).save(f"{path}/datasets")
-        self.chunks.write.mode(mode).format(source).save(f"{path}/chunks")
+        keys = ["group_path", "name", "chunk_id"]
+        self.chunks.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).format(source).save(f"{path}/chunks")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, source: str = "parquet") -> Catalog:

@@ -7,7 +7,9 @@ open it by URI through Arrow's file systems (local, s3, hdfs), so it must be whe
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,9 @@ def element_values(column: pa.Array, spec: ArraySpec) -> np.ndarray:
 def write_array(cells: DataFrame, spec: ArraySpec, folder: str, fill: object = 0) -> Catalog:
     """Write cells (i0, ..., value) as chunks; returns the catalog.
 
-    One task per group of chunks writes one payload file, named by what it holds: a retried task writes
-    the same bytes to the same name. Edge chunks are stored whole, padded with ``fill``.
+    One task per group of chunks writes one payload file, named by what it holds; an attempt writes to a name of
+    its own first, so attempts that run at the same time do not meet. Two cells at one place are an error. Edge
+    chunks are stored whole, padded with ``fill``.
     """
     rank, dtype = len(spec.shape), spec.dtype
     idx = [F.col(n) for n in index_names(rank)]
@@ -53,16 +56,18 @@ def write_array(cells: DataFrame, spec: ArraySpec, folder: str, fill: object = 0
     size, name = math.prod(spec.chunk_shape), f"{spec.group_path}/{spec.name}".strip("/").replace("/", ".")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, block, out, addr = -1, None, None, 0
+        current, block, filled, out, addr = -1, None, None, None, 0
+        system, final, attempt = None, "", ""
         rows: list[tuple[str, int, int, int]] = []
 
         def close() -> None:
-            nonlocal out, addr
+            nonlocal out, addr, system, final, attempt
             part = rows[0][0] if rows else f"{name}-{current}.chunks"
             if out is None:
-                system, path = file_system(f"{folder}/{part}")
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                out = system.open_output_stream(path)
+                system, final = file_system(f"{folder}/{part}")
+                attempt = f"{final}.{uuid.uuid4().hex}"
+                system.create_dir(final.rpartition("/")[0], recursive=True)
+                out = system.open_output_stream(attempt)
             raw = encode_chunk(block.tobytes(), dtype.size, spec.gzip, spec.shuffle)
             out.write(raw)
             rows.append((part, current, addr, len(raw)))
@@ -74,12 +79,17 @@ def write_array(cells: DataFrame, spec: ArraySpec, folder: str, fill: object = 0
                 if k != current:
                     if block is not None:
                         close()
-                    current, block = k, np.full(size, fill, dtype.numpy)
-                block[place[ids == k]] = values[ids == k]
+                    current, block, filled = k, np.full(size, fill, dtype.numpy), np.zeros(size, bool)
+                at = place[ids == k]
+                if filled[at].any() or len(np.unique(at)) < len(at):
+                    raise ValueError(f"two cells at one place of chunk {k}")
+                filled[at] = True
+                block[at] = values[ids == k]
         if block is None:
             return
         close()
         out.close()
+        system.move(attempt, final)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk_id", "addr", "size"])
 
     dealt = keyed.repartition("chunk_id").sortWithinPartitions("chunk_id")
@@ -108,19 +118,34 @@ def ranged_reads(reads: list[tuple[int, int, int]], max_gap: int = MAX_GAP, max_
     return out
 
 
+#: Requests of a task that are under way at the same time.
+REQUESTS_IN_FLIGHT = 16
+
+
 def read_payloads(files: list[str | None], addrs: list[int | None], sizes: list[int | None]) -> list[bytes | None]:
-    """Stored bytes of chunks, with neighbouring ones fetched by one request; None for those without a file."""
+    """Stored bytes of chunks; None for those without a file.
+
+    Neighbouring chunks are fetched by one request, and several requests run at once, which hides the latency of
+    object stores. A file that ends early is an error.
+    """
     out: list[bytes | None] = [None] * len(files)
+
+    def fetch(source: pa.NativeFile, uri: str, group: list[tuple[int, int, int]]) -> None:
+        start, end = group[0][0], max(a + s for a, s, _ in group)
+        raw = source.read_at(end - start, start)
+        if len(raw) < end - start:
+            raise ValueError(f"{uri} ends before byte {end}")
+        for addr, size, k in group:
+            out[k] = raw[addr - start : addr - start + size]
+
     for uri in sorted({f for f in files if f is not None}):
+        groups = ranged_reads([(addrs[k], sizes[k], k) for k, f in enumerate(files) if f == uri])
         with open_file(uri) as source:
-            for group in ranged_reads([(addrs[k], sizes[k], k) for k, f in enumerate(files) if f == uri]):
-                start, end = group[0][0], max(a + s for a, s, _ in group)
-                source.seek(start)
-                raw = source.read(end - start)
-                if len(raw) < end - start:
-                    raise ValueError(f"{uri} ends before byte {end}")
-                for addr, size, k in group:
-                    out[k] = raw[addr - start : addr - start + size]
+            if len(groups) == 1:
+                fetch(source, uri, groups[0])
+            else:
+                with ThreadPoolExecutor(REQUESTS_IN_FLIGHT) as pool:
+                    list(pool.map(lambda g, s=source, u=uri: fetch(s, u, g), groups))
     return out
 
 
@@ -205,7 +230,6 @@ def read_segments(catalog: Catalog, path: str, extents: object = ..., group: str
     start, count = resolve(extents, spec.shape)
     due = due_chunks(catalog, spec, start, count)
     planned = by_chunk(segments(catalog.chunks.sparkSession, start, count, spec.shape, spec.chunk_shape), due)
-    planned = planned.join(due.select("chunk_id", "file"), "chunk_id")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,12 +4,11 @@
     spark.read.format("chunked_array").option("catalog", uri).option("dataset", "a/b/x").load()
 
 Comparisons on index columns prune chunks before any is read (with
-``spark.sql.python.filterPushdown.enabled``). A partition holds chunks that lie together in a file.
+``spark.sql.python.filterPushdown.enabled``). A partition is a run of chunks; its task finds their addresses.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.extents import index_names
+from tessera.operators.grid import chunk_counts, strides
 from tessera.sources.catalog import ArraySpec, normal_path
 from tessera.sources.chunk_files import chunk_cells, file_system, read_payloads, value_array
 
@@ -29,11 +29,11 @@ PARTITION_BYTES = 64 * 1024 * 1024
 
 
 @dataclass
-class ChunkGroup(InputPartition):
-    files: list[str | None]  # None: never written, gives fill values
-    addrs: list[int | None]
-    sizes: list[int | None]
-    offsets: list[list[int]]
+class ChunkRun(InputPartition):
+    """Chunks ``first`` to before ``last`` in the order of those that the selection touches."""
+
+    first: int
+    last: int
     start: list[int]
     count: list[int]
 
@@ -72,36 +72,56 @@ class ChunkedArrayReader(DataSourceReader):
                 continue
             self.low[j], self.high[j] = max(self.low[j], low), min(self.high[j], high)
 
+    def touched(self) -> list[range]:
+        """By axis, the numbers of the chunks that the selection touches."""
+        return [range(low // c, -(-high // c)) for low, high, c in zip(self.low, self.high, self.spec.chunk_shape, strict=True)]
+
     def partitions(self) -> list[InputPartition]:
-        group, _, name = self.wanted.rpartition("/")
+        """Runs of chunks, by arithmetic: the driver reads no chunk rows."""
         count = [h - low for low, h in zip(self.low, self.high, strict=True)]
         if any(c <= 0 for c in count):
             return []
+        total = math.prod(map(len, self.touched()))
+        many = max(1, PARTITION_BYTES // max(1, self.spec.chunk_bytes))
+        return [ChunkRun(k, min(k + many, total), list(self.low), count) for k in range(0, total, many)]
+
+    def chunk_rows(self, run: ChunkRun) -> list[tuple[str | None, int | None, int | None, list[int]]]:
+        """(file, addr, size, offset) of a run's chunks, in order of address; no file for those never written.
+
+        The chunk table is read by a range of chunk numbers, which its files' statistics prune.
+        """
+        axes = self.touched()
+        scaled = strides(chunk_counts(self.spec.shape, self.spec.chunk_shape))
+        offsets: dict[int, list[int]] = {}
+        for k in range(run.first, run.last):
+            at = []
+            for axis in reversed(axes):
+                k, rest = divmod(k, len(axis))
+                at.append(axis[rest])
+            at.reverse()
+            offsets[sum(n * s for n, s in zip(at, scaled, strict=True))] = [n * c for n, c in zip(at, self.spec.chunk_shape, strict=True)]
+        group, _, name = self.wanted.rpartition("/")
         system, path = file_system(f"{self.catalog}/chunks")
-        table = ds.dataset(path, filesystem=system).to_table(
-            columns=["file", "part", "addr", "size", "offset"], filter=(pc.field("name") == name) & (pc.field("group_path") == group)
-        )
+        number = pc.field("chunk_id")
+        own = (pc.field("name") == name) & (pc.field("group_path") == group) & (number >= min(offsets)) & (number <= max(offsets))
+        table = ds.dataset(path, filesystem=system).to_table(columns=["file", "part", "addr", "size", "chunk_id"], filter=own)
         hit = []
         for r in table.to_pylist():
-            if all(o < h and o + c > low for o, c, low, h in zip(r["offset"], self.spec.chunk_shape, self.low, self.high, strict=True)):
-                hit.append(("/".join(p for p in (r["file"], r["part"]) if p), r["addr"], r["size"], r["offset"]))
-        hit.sort(key=lambda r: r[:2])
-        stored = {tuple(r[3]) for r in hit}
-        touched = [range(low // c * c, h, c) for low, h, c in zip(self.low, self.high, self.spec.chunk_shape, strict=True)]
-        if len(stored) < math.prod(map(len, touched)):
-            hit += [(None, None, None, list(o)) for o in itertools.product(*touched) if o not in stored]
-        many = max(1, PARTITION_BYTES // max(1, self.spec.chunk_bytes))
-        return [ChunkGroup(*map(list, zip(*hit[k : k + many], strict=True)), list(self.low), count) for k in range(0, len(hit), many)]
+            offset = offsets.pop(r["chunk_id"], None)
+            if offset is not None:
+                hit.append(("/".join(p for p in (r["file"], r["part"]) if p), r["addr"], r["size"], offset))
+        return sorted(hit, key=lambda r: r[:2]) + [(None, None, None, o) for o in offsets.values()]
 
-    def read(self, partition: ChunkGroup | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ChunkRun | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's stand-in where no chunk is left
             return
         names = [*index_names(len(self.spec.shape)), "value"]
-        for at in range(0, len(partition.files), 64):
-            part = slice(at, at + 64)
-            payloads = read_payloads(partition.files[part], partition.addrs[part], partition.sizes[part])
-            for raw, offset in zip(payloads, partition.offsets[part], strict=True):
-                idx, values = chunk_cells(raw, offset, self.spec, partition.start, partition.count)
+        rows = self.chunk_rows(partition)
+        for at in range(0, len(rows), 64):
+            part = rows[at : at + 64]
+            payloads = read_payloads(*([r[k] for r in part] for k in range(3)))
+            for raw, row in zip(payloads, part, strict=True):
+                idx, values = chunk_cells(raw, row[3], self.spec, partition.start, partition.count)
                 yield pa.RecordBatch.from_arrays([*(pa.array(i) for i in idx), value_array(values, self.spec)], names=names)
 
 

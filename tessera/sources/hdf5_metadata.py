@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 from tessera.functions.dtypes import ElementType
-from tessera.sources.catalog import FILL, ArraySpec
+from tessera.sources.catalog import FILL, UNLIMITED, ArraySpec
+
+#: Attributes by which files link arrays to dimensions; they are read as dimension names.
+STRUCTURAL = ("CLASS", "DIMENSION_LIST", "NAME", "REFERENCE_LIST", "_Netcdf4Coordinates", "_Netcdf4Dimid", "_nc3_strict")
 
 EXTENSIONS = (".nc", ".nc4", ".cdf", ".h5", ".hdf5")
 
@@ -19,6 +22,32 @@ def can_open(path: str) -> bool:
     return path.lower().endswith(EXTENSIONS)
 
 
+def attribute_text(value: object) -> str | None:
+    """An attribute as text: one-element arrays are their element, byte strings are decoded, empty ones are null."""
+    if hasattr(value, "tolist"):
+        value = value.tolist()
+    if isinstance(value, (list, tuple)) and len(value) == 1:
+        value = value[0]
+    if isinstance(value, bytes):
+        value = value.decode("utf-8", "replace")
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(str(attribute_text(v)) for v in value) + "]"
+    if isinstance(value, str):
+        return value.rstrip("\0")
+    return str(value) if isinstance(value, (int, float)) else None
+
+
+def dimension_names(node, leaf: str, file) -> list[str]:
+    """Names of an array's dimensions: of the scales attached, its own for a scale, else by place."""
+    names = [f"phony_dim_{k}" for k in range(node.ndim)]
+    if attribute_text(node.attrs.get("CLASS", "")) == "DIMENSION_SCALE" and node.ndim:
+        names[0] = leaf
+    for k, refs in enumerate(node.attrs.get("DIMENSION_LIST", ())):
+        if len(refs):
+            names[k] = file[refs[0]].name.rpartition("/")[2]
+    return names
+
+
 def array_metadata(path: str) -> Iterator[tuple[str, ArraySpec, list[tuple[int, int, Sequence[int]]]]]:
     """(file, spec, chunks) of every array of a file; arrays without storage are passed over.
 
@@ -47,10 +76,15 @@ def array_metadata(path: str) -> Iterator[tuple[str, ArraySpec, list[tuple[int,
         else:
             return
         group, _, leaf = name.rpartition("/")
-        attrs = {k: str(v) for k, v in node.attrs.items() if k not in ("DIMENSION_LIST", "REFERENCE_LIST")}
+        attrs = {k: t for k, v in node.attrs.items() if k not in STRUCTURAL and (t := attribute_text(v)) is not None}
+        dims = dimension_names(node, leaf, f)
         if kind != "c" and node.fillvalue != 0:
-            attrs[FILL] = str(node.fillvalue)
-        spec = ArraySpec(leaf, ElementType(kind, node.dtype.itemsize, order), node.shape, node.chunks or node.shape, bool(node.shuffle), node.compression_opts if node.compression == "gzip" else None, [], attrs, group)
+            attrs[FILL] = attribute_text(node.fillvalue)
+        if unlimited := [d for d, most in zip(dims, node.maxshape, strict=True) if most is None]:
+            attrs[UNLIMITED] = ",".join(unlimited)
+        spec = ArraySpec(
+            leaf, ElementType(kind, node.dtype.itemsize, order), node.shape, node.chunks or node.shape, bool(node.shuffle), node.compression_opts if node.compression == "gzip" else None, dims, attrs, group
+        )
         found.append((path, spec, chunks))
 
     with h5py.File(path, "r") as f:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
 
-from tessera.functions.codec import xdr
+from tessera.functions.codec import map_payload, xdr
 from tessera.sources.catalog import Catalog
 from tessera.sources.chunk_files import read_segments
 
@@ -26,8 +27,13 @@ def stream_values(catalog: Catalog, path: str, extents: object = ..., group: str
         yield spec.dtype.native(raw)
 
 
-def stream_xdr(catalog: Catalog, path: str, extents: object = ..., group: str | None = None) -> Iterator[bytes]:
-    """Segments in XDR: big-endian, integers under four bytes widened."""
+def xdr_segments(catalog: Catalog, path: str, extents: object = ..., group: str | None = None) -> DataFrame:
+    """(dst_offset, payload) by segment, in XDR: big-endian, integers under four bytes widened. Executors widen."""
     _, spec = catalog.spec(path, group)
-    for raw in stream_bytes(catalog, path, extents, group):
-        yield xdr(raw, spec.dtype)
+    return map_payload(read_segments(catalog, path, extents, group), "payload", lambda raw: xdr(raw, spec.dtype))
+
+
+def stream_xdr(catalog: Catalog, path: str, extents: object = ..., group: str | None = None) -> Iterator[bytes]:
+    """Payloads of :func:`xdr_segments` in order."""
+    for row in xdr_segments(catalog, path, extents, group).orderBy("dst_offset").toLocalIterator(prefetchPartitions=True):
+        yield bytes(row["payload"])
