@@ -59,7 +59,7 @@ def sample_ids(rows: DataFrame, bound: int) -> DataFrame:
     chosen: list[tuple] = []
     while share:
         limits = spark.createDataFrame(list(share.items()), T.StructType([kinds[1], T.StructField("share", T.DoubleType())]))
-        thin = rows.join(limits, "class").filter(key.cast("double") <= (F.col("share") * 2.0 - 1.0) * 2.0**63)
+        thin = rows.join(F.broadcast(limits), "class").filter(key.cast("double") <= (F.col("share") * 2.0 - 1.0) * 2.0**63)
         found: dict = {c: [] for c in share}
         for r in thin.select("class", "id", key.alias("key")).distinct().collect():
             found[r["class"]].append((r["key"], r["id"]))
