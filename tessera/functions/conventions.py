@@ -48,6 +48,51 @@ def decode_times(value: Column, units: str) -> Column:
     return F.lit(epoch).cast("timestamp_ntz") + shift
 
 
+#: Days of a year, and of its months, in calendars whose years are all alike.
+_MONTHS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+UNIFORM_CALENDARS = {"360_day": (30,) * 12, "noleap": _MONTHS, "365_day": _MONTHS, "all_leap": (31, 29, *_MONTHS[2:]), "366_day": (31, 29, *_MONTHS[2:])}
+STANDARD_CALENDARS = ("standard", "gregorian", "proleptic_gregorian")
+
+
+def decode_calendar_times(value: Column, units: str, calendar: str) -> Column:
+    """Numbers in ``<unit> since <date>`` of a calendar of equal years, as struct<year, month, day, hour, minute, second, microsecond>.
+
+    Such calendars have dates that timestamps lack, as 30 February. Units may also be years, and in the 360-day
+    calendar months. Null stays null.
+    """
+    lengths = UNIFORM_CALENDARS.get(calendar.lower())
+    if lengths is None:
+        raise ValueError(f"unknown calendar {calendar!r}")
+    m = re.fullmatch(r"\s*(year|month)s?\s+since\s+(.+)", units, re.IGNORECASE)
+    if m and (m[1].lower() == "year" or len(set(lengths)) == 1):
+        days, epoch = (sum(lengths) if m[1].lower() == "year" else lengths[0]), parse_time_units(f"days since {m[2]}")[1]
+        seconds = 86400.0 * days
+    else:
+        seconds, epoch = parse_time_units(units)
+    at = re.fullmatch(r"(-?\d+)-(\d+)-(\d+)(?:\s+(\d+):(\d+)(?::(\d+(?:\.\d+)?))?)?", epoch.strip())
+    if not at:
+        raise ValueError(f"unknown date {epoch!r}")
+    year, month, day, hour, minute = (int(x or 0) for x in at.groups()[:5])
+    before = [sum(lengths[:k]) for k in range(12)]
+    start = (year * sum(lengths) + before[month - 1] + day - 1) * 86400 + hour * 3600 + minute * 60
+    micros = F.round(value.cast("double") * F.lit(seconds * 1e6)).cast("long") + F.lit(start * 1_000_000 + round(float(at[6] or 0) * 1e6)).cast("long")
+    number, rest = F.floor(micros / F.lit(86_400_000_000)), F.pmod(micros, F.lit(86_400_000_000))
+    of_year = F.pmod(number, F.lit(sum(lengths)))
+    in_month = sum((of_year >= b).cast("int") for b in before)
+    first = F.element_at(F.array(*[F.lit(b) for b in before]), in_month)
+    part = lambda unit, size: F.pmod(F.floor(rest / F.lit(unit)), F.lit(size)).cast("int")
+    fields = {
+        "year": F.floor(number / F.lit(sum(lengths))).cast("int"), "month": in_month, "day": (of_year - first + 1).cast("int"),
+        "hour": part(3_600_000_000, 24), "minute": part(60_000_000, 60), "second": part(1_000_000, 60), "microsecond": part(1, 1_000_000),
+    }
+    return F.when(value.isNotNull(), F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+def is_time_unit(unit: str) -> bool:
+    """Whether numbers of this unit are spans of time."""
+    return unit.lower().removesuffix("s") in _SECONDS or unit.lower() in _SECONDS
+
+
 def decode_timedelta(value: Column, unit: str) -> Column:
     """Numbers of a time unit as day-time intervals."""
     seconds = _SECONDS.get(unit.lower().removesuffix("s") or unit.lower(), _SECONDS.get(unit.lower()))

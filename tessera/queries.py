@@ -6,12 +6,14 @@ Arrays are taken from tables with dense keys: A1 ``events.value`` [n]; A2 ``embe
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.api import Index, open_mfdataset
 from tessera.functions import codec, conventions
 from tessera.functions.dtypes import ElementType
 from tessera.operators import extents as X
@@ -22,6 +24,7 @@ from tessera.scratch import scratch_path
 from tessera.sources.catalog import CHUNKS, ArraySpec, Catalog, chunks_as_numbers, numbers_as_chunks
 from tessera.sources.chunk_files import read_array, read_segments, write_array
 from tessera.sources.data_source import register
+from tessera.streaming.segments import xdr_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,8 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def size_of(df: DataFrame, key: str) -> int:
-    """Length of a dense-key axis: from Parquet metadata, as the aggregate is pushed down to it."""
-    return (df.agg(F.max(key)).first()[0] or -1) + 1
+    """Length of a dense-key axis, from a scan of the key column; 0 for an empty table."""
+    most = df.agg(F.max(key)).first()[0]
+    return 0 if most is None else most + 1
 
 
 def a1(spark, sf_dir) -> tuple[DataFrame, list[int]]:
@@ -308,6 +312,16 @@ def coalesce_requests(spark, sf_dir):
     return requests.coalesce_requests(chunk_table(spark, dims))
 
 
+@query(f"""WITH c AS (SELECT chunk_id, chunk_id * 1000000 AS addr, chunk_id * 1000000 // {requests.RANGE_BYTES} AS r FROM ({GRID2})),
+g AS (SELECT addr, r, (chunk_id - min(chunk_id) OVER (PARTITION BY r)) // 8 AS k FROM c)
+SELECT 'a2' AS file, min(addr) AS start, max(addr) + 1000000 AS end, count(*) AS chunks FROM g GROUP BY r, k""")
+def coalesce_requests_spans(spark, sf_dir):
+    """Chunks of 1 MB end to end, so that requests end at the largest span."""
+    dims = [size_of(table(spark, sf_dir, "embeddings"), "vec_id"), 64]
+    addr, size = F.col("chunk_id") * 1_000_000, F.lit(1_000_000).cast("long")
+    return requests.coalesce_requests(chunk_table(spark, dims).withColumn("addr", addr).withColumn("size", size))
+
+
 @query(f"SELECT chunk_id * 4 + p AS place, [chunk_id * 4800 + (chunk_id // 10) * 40000, 4800, o0, o1][p + 1] AS number FROM ({GRID2}), (SELECT unnest(range(4)) AS p)")
 def reinterpret_u64s(spark, sf_dir):
     dims = [size_of(table(spark, sf_dir, "embeddings"), "vec_id"), 64]
@@ -445,6 +459,20 @@ def datasource_parallel(spark, sf_dir):
     return spark.read.format("chunked_array").option("catalog", folder).option("dataset", "embedding").load()
 
 
+@query(f"""SELECT min(i0) - 10 AS dst_offset,
+    string_agg(substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY i0) AS native, string_agg(w, '' ORDER BY i0) AS xdr
+FROM (SELECT i0, upper(printf('%04x', (value - 25) & 65535)) AS h, upper(printf('%08x', (value::BIGINT - 25) & 4294967295)) AS w FROM ({A4}) WHERE i0 >= 10 AND i0 < 130)
+GROUP BY i0 // 50""")
+def stream_payloads(spark, sf_dir):
+    """Bytes of the segments, as stored and in XDR."""
+    cells, dims = a4(spark, sf_dir)
+    shifted = cells.select("i0", (F.col("value") - 25).cast("short").alias("value"))
+    catalog = stored(spark, shifted, ArraySpec("size", ElementType("i", 2), dims, [50], shuffle=True, gzip=2))
+    picked = X.from_vectors([10], [min(120, dims[0] - 10)])
+    native = read_segments(catalog, "size", picked).select("dst_offset", F.hex("payload").alias("native"))
+    return native.join(xdr_segments(catalog, "size", picked).select("dst_offset", F.hex("payload").alias("xdr")), "dst_offset")
+
+
 @query(f"SELECT dst_offset, src_end - src_start AS elements FROM ({SEG2})")
 def stream_segments(spark, sf_dir):
     cells, dims = a2(spark, sf_dir)
@@ -489,6 +517,98 @@ def decode_timedelta(spark, sf_dir):
     return cells.select("i0", seconds.alias("seconds"))
 
 
+def calendar_sql(days: str, month: str, day: str) -> str:
+    return f"SELECT i0, 2000 + i0 // {days} AS year, {month} AS month, {day} AS day, 6 AS hour FROM (SELECT *, i0 % {days} AS d FROM ({A4}))"
+
+
+@query(calendar_sql("360", "d // 30 + 1", "d % 30 + 1"))
+def decode_times_360_day(spark, sf_dir):
+    cells, _ = a4(spark, sf_dir)
+    return calendar_fields(cells, "360_day")
+
+
+NOLEAP = "[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]"
+
+
+@query(calendar_sql("365", f"len(list_filter({NOLEAP}, lambda x: x <= d))", f"d - list_max(list_filter({NOLEAP}, lambda x: x <= d)) + 1"))
+def decode_times_noleap(spark, sf_dir):
+    cells, _ = a4(spark, sf_dir)
+    return calendar_fields(cells, "noleap")
+
+
+def calendar_fields(cells: DataFrame, calendar: str) -> DataFrame:
+    at = conventions.decode_calendar_times(F.col("i0"), "days since 2000-01-01 06:00", calendar)
+    return cells.select("i0", *[at[n].cast("long" if n != "hour" else "int").alias(n) for n in ("year", "month", "day", "hour")])
+
+
+# Opening a dataset, by flag.
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Index:
+    """A group with a packed variable ``size`` on ``time``, its time coordinate, a lead time and nation names as characters."""
+    cells, dims = a4(spark, sf_dir)
+    n = table(spark, sf_dir, "nation")
+    names = n.select(F.col("n_nationkey").alias("i0"), F.posexplode(F.split(F.rpad("n_name", 20, "\0"), "")).alias("i1", "c"))
+    names = names.select("i0", F.col("i1").cast("long").alias("i1"), F.encode("c", "UTF-8").alias("value"))
+    hours = cells.select("i0", (F.col("i0") * 3).cast("int").alias("value"))
+    parts = [
+        (cells, ArraySpec("size", ElementType("i", 4), dims, [500], gzip=1, dims=["time"], group_path="g", attrs={"scale_factor": "0.5", "add_offset": "10", "_FillValue": "7"})),
+        (hours, ArraySpec("time", ElementType("i", 4), dims, [500], dims=["time"], group_path="g", attrs={"units": "hours since 1970-01-01 12:00:00"})),
+        (hours, ArraySpec("lead", ElementType("i", 4), dims, [500], dims=["time"], group_path="g", attrs={"units": "hours"})),
+        (names, ArraySpec("name", ElementType("c", 1, "NA"), [size_of(n, "n_nationkey"), 20], [25, 20], dims=["nation", "length"], group_path="g")),
+    ]
+    catalogs = [stored(spark, c, s) for c, s in parts]
+    return Index(functools.reduce(Catalog.union, catalogs))
+
+
+@query(f"SELECT i0, nullif(value, 7)::DOUBLE * 0.5 + 10 AS value FROM ({A4})")
+def open_dataset_mask_and_scale(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g", decode_coords=False)["size"]
+
+
+@query(A4)
+def open_dataset_raw(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g", mask_and_scale=False, decode_coords=False, drop_variables=["lead"])["size"]
+
+
+@query(f"SELECT i0, TIMESTAMP '1970-01-01 12:00:00' + to_hours(i0 * 3) AS value FROM ({A4})")
+def open_dataset_decode_times(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g", decode_coords=False)["time"]
+
+
+@query(f"SELECT i0, (i0 * 3)::INT AS value FROM ({A4})")
+def open_dataset_times_off(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g", decode_times=False, decode_coords=False)["time"]
+
+
+@query(f"SELECT i0, i0 * 10800 AS seconds FROM ({A4})")
+def open_dataset_decode_timedelta(spark, sf_dir):
+    spans = opened(spark, sf_dir).open_dataset(group="g", decode_timedelta=True, decode_coords=False)["lead"]
+    return spans.select("i0", (F.lit("1970-01-01").cast("timestamp_ntz") + F.col("value")).cast("timestamp").cast("long").alias("seconds"))
+
+
+@query("SELECT n_nationkey AS i0, n_name AS value FROM nation")
+def open_dataset_concat_characters(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g")["name"]
+
+
+@query(f"SELECT i0, nullif(value, 7)::DOUBLE * 0.5 + 10 AS value, TIMESTAMP '1970-01-01 12:00:00' + to_hours(i0 * 3) AS time FROM ({A4})")
+def open_dataset_decode_coords(spark, sf_dir):
+    return opened(spark, sf_dir).open_dataset(group="g")["size"]
+
+
+@query(f"SELECT i0, year(t)::INT AS year, month(t)::INT AS month, day(t)::INT AS day, hour(t)::INT AS hour FROM (SELECT i0, TIMESTAMP '1970-01-01 12:00:00' + to_hours(i0 * 3) AS t FROM ({A4}))")
+def open_dataset_use_cftime(spark, sf_dir):
+    found = opened(spark, sf_dir).open_dataset(group="g", use_cftime=True, decode_coords=False)["time"]
+    return found.select("i0", *[F.col("value")[n].alias(n) for n in ("year", "month", "day", "hour")])
+
+
+@query(f"SELECT i0, nullif(value, 7)::DOUBLE * 0.5 + 10 AS value FROM (SELECT * FROM ({A4}) UNION ALL SELECT i0 + (SELECT count(*) FROM part), value FROM ({A4}))")
+def open_mfdataset_by_dimension(spark, sf_dir):
+    index = opened(spark, sf_dir)
+    return open_mfdataset([index, index], "time", by="time", group="g")["size"]
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def concat_characters(spark, sf_dir):
     df = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(F.split(F.rpad("n_name", 20, "\0"), "")).alias("p", "c"))

@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from tessera.queries import ORACLE_SQL, QUERIES
+from tessera.queries import ORACLE_SQL, QUERIES, size_of
 
 SF_DIR = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -49,6 +49,21 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
+def test_entry_bears_what_cannot_be_imported(tmp_path):
+    """Once with the pipeline there and both folders gone, once without a package that only the corpus operators need."""
+    code = "import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and set(e.oracle_sql()) == set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    shutil.copytree(ROOT, tmp_path / "a", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    assert (tmp_path / "a/corpus_pipeline.py").exists() or not os.path.exists(f"{ROOT}/corpus_pipeline.py")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "a", check=True, env=env)
+    shutil.copytree(ROOT, tmp_path / "b", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    subprocess.run([sys.executable, "-c", f"import sys; sys.modules['public_tokenizers'] = None; {code}"], cwd=tmp_path / "b", check=True, env=env)
+
+
+def test_axis_sizes(spark):
+    assert [size_of(spark.createDataFrame(rows, "k long"), "k") for rows in ([], [(0,)], [(0,), (4,)])] == [0, 1, 5]
+
+
 def test_coordinates_are_joined_to_every_cell(spark):
     orders = spark.read.parquet(f"{SF_DIR}/orders.parquet").count()
     got = QUERIES["decode_coords_join_whole"](spark, SF_DIR)
