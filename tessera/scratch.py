@@ -39,7 +39,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def discard_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables, once nothing that was built from them is needed."""
+    """Delete this application's scratch tables: call it when the results that were built from them are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tessera/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -52,7 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables as :func:`materialize` gave them, once nothing that is still to run reads them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def share_package(spark: SparkSession) -> None:
