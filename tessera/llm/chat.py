@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, release
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
 LEARNED_ROLE = "assistant"
@@ -59,7 +59,9 @@ def reply_paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
 
     ``nodes`` has tree, node, parent (null: root), score double. A parent that is not in the tree counts
     as null; rows that repeat (tree, node) must agree and count once; a null score counts 0. Paths rank
-    by the sum of scores, then by leaf; ``top_k`` None keeps all. Nodes on a cycle have no root: an error.
+    by the sum of scores, then by leaf; ``top_k`` None keeps all. Nodes without a tree belong to no common
+    one: each of their paths ranks first. Nodes on a cycle have no root: an error. An empty table gives no
+    paths; other columns are not read.
     """
     nodes = nodes.dropDuplicates(["tree", "node"])
     keys = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
@@ -69,14 +71,18 @@ def reply_paths(nodes: DataFrame, top_k: int | None = 1) -> DataFrame:
     tables, done = jump_tables(clean)
     inner = clean.filter("parent IS NOT NULL").select(F.col("tree").alias("_tree"), F.col("parent").alias("_node")).distinct()
     leaves = done.join(inner, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
-    by_score = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
+    by_score = Window.partitionBy("tree", F.when(F.col("tree").isNull(), F.col("node"))).orderBy(F.col("score").desc(), "node")
     ranked = leaves.select("tree", "node", "score").withColumn("rank", F.row_number().over(by_score))
     if top_k is not None:
         ranked = ranked.filter(F.col("rank") <= top_k)
     # Down the tables again: the set of steps up grows from {0} to all numbers below 2^levels.
     path = ranked.select("tree", "rank", F.col("node").alias("leaf"), "score", F.lit(0).cast("long").alias("steps_up"), "node")
+    before = None
     for k in range(len(tables) - 1, -1, -1):
         path = materialize(path, "reply-path")
+        if before is not None:
+            release(before)
+        before = path
         up = tables[k].select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "anc")
         more = path.join(up, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")))
         more = more.select("tree", "rank", "leaf", "score", (F.col("steps_up") + F.lit(1 << k)).alias("steps_up"), F.col("anc").alias("node"))
@@ -89,7 +95,8 @@ def format_paths(turns: DataFrame, paths: DataFrame, learned_role: str = LEARNED
 
     ``turns`` has tree, node, role, text (null: empty). ``loss_spans`` array<struct<start, length>> gives,
     in code points of ``formatted``, each escaped text of the learned role: the loss mask. A conversation
-    is one value, so its turns meet in one row; texts are attached only to chosen paths.
+    is one value, so its turns meet in one row; texts are attached only to chosen paths. Paths without turns
+    give no rows, nor do empty tables; other columns of ``turns`` are not carried.
     """
     written = turns.dropDuplicates(["tree", "node"]).select(
         F.col("tree").alias("_tree"),
@@ -112,7 +119,10 @@ def format_paths(turns: DataFrame, paths: DataFrame, learned_role: str = LEARNED
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``turns`` array<struct<role, text>> and ``loss_text``, parsed from formatted and loss_spans alone."""
+    """Adds ``turns`` array<struct<role, text>> and ``loss_text``, parsed from formatted and loss_spans alone.
+
+    Columns of these names are replaced; a null ``formatted`` gives nulls, an empty table an empty result.
+    """
     parts = F.split("formatted", CLOSE)
     parts = F.slice(parts, 1, F.size(parts) - 1)
     role = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): (.*)$"
@@ -128,11 +138,13 @@ def conversations_as_trees(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply chains: tree, node, parent, role, text, score.
 
     The node is the row's place by turn, then role and text, nulls first; so repeated turns stay, each as
-    a turn of its own. A null conv_id is a conversation of its own.
+    a turn of its own. Each row without a conv_id is a conversation of its own, under a number that differs from
+    run to run: write the result before it is read twice. An empty table gives no turns; other columns are not
+    carried.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    at = F.row_number().over(order).cast("long")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", at)
-    return rows.select(
-        F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score")
-    )
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", "turn", "role", "text", alone.alias("_alone"))
+    order = Window.partitionBy("conv_id", "_alone").orderBy("turn", "role", "text")
+    rows = rows.withColumn("node", F.coalesce("_alone", F.row_number().over(order).cast("long")))
+    parent = F.when(F.col("_alone").isNull() & (F.col("node") > 1), F.col("node") - 1)
+    return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))

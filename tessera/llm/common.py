@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.scratch import map_batches, materialize
+from tessera.scratch import map_batches, materialize, release
 
-__all__ = ["id_remainder", "map_batches", "materialize", "read_table", "replace_columns", "replaced_schema", "sample_ids", "slices", "words_column"]
+__all__ = ["id_remainder", "map_batches", "materialize", "read_table", "release", "replace_columns", "replaced_schema", "sample_ids", "slices", "words_column"]
 
 #: Documents handed to a Python operator at a time: bounds a worker's memory when texts are long.
 SLICE_ROWS = 256

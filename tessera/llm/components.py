@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize
+from tessera.llm.common import map_batches, materialize, release
 
 
 def forest(left: list[int], right: list[int]) -> tuple[list[int], list[int]]:
@@ -44,7 +44,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     Returns (node long, component long), one row for each node that has a link to another node; a
     node without links is its own component and is left to the caller. Self-links and repeated links
     are allowed, rows with a null end are ignored. Every round writes its (never growing) edge table
-    to the scratch folder; the number of rounds grows with the logarithm of the longest chain.
+    to the scratch folder and deletes the one before; the number of rounds grows with the logarithm of the
+    longest chain.
     """
     cols = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
     cols = cols.filter(F.col("u") != F.col("v"))
@@ -65,6 +66,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         leaves = after.groupBy("u").agg(F.count("*").alias("n"))
         twice = leaves.filter("n > 1").limit(1)
         chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1)
+        release(current, large)
         if not twice.select("u").union(chained.select("u")).take(1):
             return after.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -163,11 +163,11 @@ FROM vectors LEFT JOIN counts USING (r) LEFT JOIN low ON low.u = vec_id
 
 OP3_SQL = rf"""
 WITH rows AS (
-    SELECT conv_id, turn, role, text FROM conversations
-    UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, role, text FROM conversations
+    UNION ALL SELECT -7, NULL, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, NULL, 1, 'assistant', '{CONTROL_TEXT}'),
 turns AS (
-    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
-        PARTITION BY conv_id ORDER BY turn NULLS FIRST, rows.role NULLS FIRST, rows.text NULLS FIRST) AS node,
+    SELECT conv_id, alone, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, rows.role NULLS FIRST, rows.text NULLS FIRST) AS node,
         14 + length(replace({_escaped('rows.role')}, ':', '\:')) + length({_escaped('rows.text')}) AS chars
     FROM rows)
 SELECT conv_id, count(*) AS n_turns,
@@ -175,7 +175,7 @@ SELECT conv_id, count(*) AS n_turns,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY node) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(chars)::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+FROM turns GROUP BY conv_id, alone
 """
 
 OP5_SQL = rf"""

@@ -130,7 +130,23 @@ def test_formats_read_back(spark):
     for r in got:
         assert r["loss_text"] == "".join(x for role, x in by[r["tree"]] if role == "assistant")
         assert r["formatted"].count(chat.CLOSE) == len(by[r["tree"]])
-    assert chat.conversations_as_trees(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    none = chat.conversations_as_trees(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert none.count() == 0
+    paths = chat.reply_paths(none.select("tree", "node", "parent", "score"))
+    assert paths.count() == 0 and chat.read_back(chat.format_paths(none, paths)).count() == 0
+
+
+def test_rows_without_a_conversation_stand_alone(spark, tmp_path):
+    rows = [(None, k % 3, "assistant" if k % 2 else "user", f"t{k % 5}") for k in range(20)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(path)
+    got = queries.op3_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.OP3_SQL)
+    columns = [d[0] for d in want.description]
+    found = sorted(map(str, map(tuple, got.select(*columns).collect())))
+    assert found == sorted(map(str, want.fetchall())) and len(found) == 22
 
 
 # Rules
