@@ -18,7 +18,7 @@ from tessera.llm.common import map_batches, replace_columns, replaced_schema, sl
 
 # Sentences of public licence texts and notices, by identifier.
 SENTENCES: dict[str, tuple[str, ...]] = {
-    "mit-name": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "MIT License", "The MIT License (MIT)"),
+    "mit-name": ("Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "MIT License", "The MIT License (MIT)", "The MIT License", "Licensed under the MIT License (see LICENSE)", "MIT licensed"),
     "mit-grant": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
     ),
@@ -58,9 +58,19 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "epl1-name": ("Licensed under the Eclipse Public License 1.0", "Eclipse Public License - v 1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
     "unlicense": ("This is free and unencumbered software released into the public domain", "Released under the Unlicense", "Licensed under the Unlicense"),
     "cc0": ("CC0 1.0 Universal", "Licensed under CC0 1.0", "This work is licensed under CC0 1.0", "This work is licensed under a Creative Commons CC0 1.0 Universal License", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    "zlib-grant": ("This software is provided 'as-is', without any express or implied warranty",),
+    "boost-name": ("Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     "reserved": ("All rights reserved",),
 }
 
+# Identifiers that a line `SPDX-License-Identifier: ...` may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"spdx-{i}": (f"SPDX-License-Identifier: {i}",) for i in SPDX}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -105,6 +115,9 @@ RULES: tuple[Rule, ...] = (
     Rule("EPL-1.0", ("epl1-name",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("CC0-1.0", ("cc0",)),
+    Rule("Zlib", ("zlib-grant",)),
+    Rule("BSL-1.0", ("boost-name",)),
+    *(Rule(i, (f"spdx-{i}",)) for i in SPDX),
     Rule("all-rights-reserved", ("reserved",)),
 )
 
@@ -125,7 +138,7 @@ class SentenceIndex:
         self.prefixes = {k[:n] for k in self.known for n in range(1, len(k))}
         left, self.anchors = set(self.known), []
         while left:  # greedy cover, long words first among equals
-            words = {w for k in left for w in k if w.isalnum()}
+            words = {w for k in left for w in k}
             best = max(sorted(words), key=lambda w: (sum(w in k for k in left) * (len(w) > 5), len(w)))
             self.anchors.append(best)
             left = {k for k in left if best not in k}

@@ -286,6 +286,7 @@ def test_common_licences_are_recognised(spark):
         "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
         "ISC": "ISC License\n\nCopyright (c) 2020 Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "EPL-2.0": "Eclipse Public License - v 2.0", "EPL-1.0": "Licensed under the Eclipse Public License 1.0.", "Unlicense": "This is free and unencumbered software released into the public domain.", "CC0-1.0": "CC0 1.0 Universal", "Apache-2.0": "Apache License\n                           Version 2.0, January 2004",
+        "GPL-2.0-only": "// SPDX-License-Identifier: GPL-2.0-only\n#include <x.h>", "BSD-3-Clause": "/* SPDX-License-Identifier: BSD-3-Clause */", "MIT": "Licensed under the MIT license (see LICENSE).",
     }
     docs = spark.createDataFrame(list(texts.items()), "want string, text string")
     assert {r["want"]: [s["licence"] for s in r["licences"]] for r in licences.scan(docs).collect()} == {k: [k] for k in texts}
