@@ -1,4 +1,4 @@
-"""Optional: array metadata of HDF5 files, where h5py is installed.
+"""Array metadata of HDF5 and NetCDF4 files.
 
 Only metadata is read here; payloads are read by the chunk readers. Everything after this works from
 the catalog tables.
@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+
 from tessera.functions.dtypes import ElementType
 from tessera.sources.catalog import FILL, UNLIMITED, ArraySpec
+from tessera.sources.chunk_files import file_system
+from tessera.sources.hdf5_format import CHECKSUM, GZIP, SHUFFLE, HDF5File, Node, Unsupported
 
 #: Attributes by which files link arrays to dimensions; they are read as dimension names.
 STRUCTURAL = ("CLASS", "DIMENSION_LIST", "NAME", "REFERENCE_LIST", "_Netcdf4Coordinates", "_Netcdf4Dimid", "_nc3_strict")
@@ -48,12 +52,60 @@ def dimension_names(node, leaf: str, file) -> list[str]:
     return names
 
 
-def array_metadata(path: str) -> Iterator[tuple[str, ArraySpec, list[tuple[int, int, Sequence[int]]]]]:
-    """(file, spec, chunks) of every array of a file; arrays without storage are passed over.
+Entry = tuple[str, ArraySpec, list[tuple[int, int, Sequence[int]]]]
+
+
+def array_metadata(path: str) -> Iterator[Entry]:
+    """(file, spec, chunks) of every array of a file; arrays without storage of their own are passed over.
 
-    A contiguous array is one chunk. Filters other than deflate and byte shuffle are an error. Chunks that
-    were never written are missing from the list: they read as fill values.
+    ``path`` is a local path or the URI of an object. A contiguous array is one chunk. Filters other than deflate
+    and byte shuffle are an error. Chunks that were never written are missing from the list: they read as fill
+    values. Structures of the file format that are not understood are left to h5py if it is installed, else an error.
     """
+    system, inside = file_system(path)
+    try:
+        with system.open_input_file(inside) as source:
+            size = source.size()
+            nodes = list(HDF5File(lambda at, n: source.read_at(max(0, min(n, size - at)), at) if at < size else b"").datasets())
+    except Unsupported:
+        try:
+            yield from h5py_metadata(path)
+        except ImportError:
+            pass
+        else:
+            return
+        raise
+    names = {n.address: n.path.rpartition("/")[2] for n in nodes}
+    for node in nodes:
+        if node.chunks or node.chunk_shape:
+            yield path, node_spec(node, names), node.chunks
+
+
+def node_spec(node: Node, names: dict[int, str]) -> ArraySpec:
+    """A dataset's spec; ``names`` are those of datasets by header address."""
+    group, _, leaf = node.path.rpartition("/")
+    known = [number for number, _ in node.filters]
+    if set(known) - {GZIP, SHUFFLE} or known != sorted(known, reverse=True):
+        raise ValueError(f"{node.path}: unsupported filters {known}{' (a checksum)' if CHECKSUM in known else ''}")
+    level = next((values[0] for number, values in node.filters if number == GZIP), None)
+    dims = [f"phony_dim_{k}" for k in range(len(node.shape))]
+    if attribute_text(node.attrs.get("CLASS", "")) == "DIMENSION_SCALE" and dims:
+        dims[0] = leaf
+    for k, scales in enumerate(node.attrs.get("DIMENSION_LIST", ())):
+        if scales and scales[0] in names:
+            dims[k] = names[scales[0]]
+    attrs = {k: t for k, v in node.attrs.items() if k not in STRUCTURAL and (t := attribute_text(v)) is not None}
+    kind = node.dtype.kind if node.dtype.kind in "uif" else "c"
+    dtype = ElementType(kind, node.dtype.size, "NA" if kind == "c" else node.dtype.order)
+    if kind != "c" and node.fill is not None and any(node.fill):
+        attrs[FILL] = attribute_text(np.frombuffer(node.fill, dtype.numpy))
+    if unlimited := [d for d, most in zip(dims, node.maxshape, strict=True) if most is None]:
+        attrs[UNLIMITED] = ",".join(unlimited)
+    return ArraySpec(leaf, dtype, node.shape, node.chunk_shape or node.shape, SHUFFLE in known, level, dims, attrs, group)
+
+
+def h5py_metadata(path: str) -> Iterator[Entry]:
+    """The same through h5py, where it is installed; local files only."""
     try:
         import h5py
     except ImportError as e:

@@ -14,7 +14,8 @@ from tessera.scratch import scratch_path
 from tessera.sources.catalog import FILL, ArraySpec, Catalog
 from tessera.sources.chunk_files import read_payloads, write_array
 from tessera.sources.data_source import ChunkedArrayReader
-from tessera.sources.hdf5_metadata import array_metadata, attribute_text
+from tessera.sources.hdf5_metadata import attribute_text
+from tessera.sources.hdf5_metadata import h5py_metadata as array_metadata
 from tests.test_store import store
 
 
