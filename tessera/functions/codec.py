@@ -80,12 +80,23 @@ def xdr_hex(value: Column) -> Column:
     return F.lpad(F.hex(value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
 
 
+def byte_swap(value: Column, size: int) -> Column:
+    """An integer column of ``size`` bytes (2, 4 or 8) with its bytes reversed; null stays null."""
+    kind = {2: "short", 4: "int", 8: "long"}[size]
+    v = value.cast("long")
+    swapped = F.lit(0).cast("long")
+    for k in range(size):
+        part = F.shiftright(v, 8 * k).bitwiseAND(F.lit(0xFF))
+        swapped = swapped.bitwiseOR(F.shiftleft(part, 8 * (size - 1 - k)))
+    if size == 8:
+        return swapped
+    top = 1 << (8 * size - 1)
+    return F.when(swapped >= F.lit(top), swapped - F.lit(2 * top)).otherwise(swapped).cast(kind)
+
+
 def byte_swap32(value: Column) -> Column:
     """A 32-bit integer with its bytes reversed."""
-    v = value.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    part = [F.shiftright(v, 8 * k).bitwiseAND(F.lit(0xFF)) for k in range(4)]
-    swapped = sum(F.shiftleft(p, 8 * (3 - k)) for k, p in enumerate(part))
-    return F.when(swapped >= F.lit(1 << 31), swapped - F.lit(1 << 32)).otherwise(swapped).cast("int")
+    return byte_swap(value, 4)
 
 
 def map_payload(df: DataFrame, column: str, fn) -> DataFrame:

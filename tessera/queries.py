@@ -199,6 +199,13 @@ def open_mfdataset_concat_whole(spark, sf_dir):
     return shape.concat([(cells, dims[0]), (cells, dims[0])])
 
 
+@query(A3.replace("o_orderkey % 25 AS i2", "(o_orderkey % 25)::INT AS i2"))
+def reshape_rows_values(spark, sf_dir):
+    """Every nested value with its place in its row."""
+    cells, _ = a3(spark, sf_dir)
+    return shape.nest_rows(cells, 3).select("i0", "i1", F.posexplode("values").alias("i2", "value"))
+
+
 # Chunks.
 
 
@@ -244,6 +251,15 @@ def chunk_validity(spark, sf_dir):
     return grid.validity(grid.chunk_grid(spark, dims, CHUNK2), dims, CHUNK2)
 
 
+@query("SELECT * FROM (VALUES ('double', true, false, false), ('missing', true, false, false), ('shifted', false, true, false), ('whole', true, true, true)) AS t(kind, aligned, complete, valid)")
+def chunk_validity_of_broken_grids(spark, sf_dir):
+    dims = [size_of(table(spark, sf_dir, "embeddings"), "vec_id"), 64]
+    whole = grid.chunk_grid(spark, dims, CHUNK2).select("chunk_id", "offset")
+    shifted = F.when(F.col("chunk_id") == 1, F.transform("offset", lambda o: o + 1)).otherwise(F.col("offset"))
+    kinds = {"whole": whole, "missing": whole.filter("chunk_id <> 2"), "double": whole.union(whole.filter("chunk_id = 0")), "shifted": whole.withColumn("offset", shifted)}
+    return functools.reduce(DataFrame.union, [grid.validity(g, dims, CHUNK2).select(F.lit(k).alias("kind"), "aligned", "complete", "valid") for k, g in kinds.items()])
+
+
 def segment_sql(cells: str, dst: str, chunk: str, src: str) -> str:
     return f"""WITH c AS (SELECT {dst} AS dst, {chunk} AS chunk_id, {src} AS src FROM ({cells})),
 m AS (SELECT *, CASE WHEN lag(chunk_id) OVER w IS DISTINCT FROM chunk_id OR lag(src) OVER w + 1 IS DISTINCT FROM src THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (ORDER BY dst)),
@@ -391,6 +407,17 @@ def byteswap_i32(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", codec.byte_swap32(F.col("p_size")).alias("swapped"))
 
 
+@query("""SELECT p_partkey, CASE WHEN a >= 32768 THEN a - 65536 ELSE a END::SMALLINT AS s16,
+    CASE WHEN b >= 9223372036854775808 THEN b::HUGEINT - 18446744073709551616 ELSE b::HUGEINT END::BIGINT AS s64
+FROM (SELECT p_partkey, ((p_size & 255) << 8) | ((p_size >> 8) & 255) AS a,
+    ('0x' || list_aggregate(list_reverse(list_transform(range(8), lambda k: substr(h, (2 * k + 1)::INT, 2))), 'string_agg', ''))::UBIGINT AS b
+    FROM (SELECT p_partkey, p_size, printf('%016x', p_partkey::BIGINT * 1000003) AS h FROM part))""")
+def byteswap_i16_i64(spark, sf_dir):
+    wide = F.col("p_partkey").cast("long") * 1000003
+    df = table(spark, sf_dir, "part")
+    return df.select("p_partkey", codec.byte_swap(F.col("p_size").cast("short"), 2).alias("s16"), codec.byte_swap(wide, 8).alias("s64"))
+
+
 @query("SELECT p_partkey, upper(printf('%08x', (p_size - 25) & 4294967295)) AS xdr FROM (SELECT p_partkey, p_size::BIGINT AS p_size FROM part)")
 def xdr_upcast_i16(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", codec.xdr_hex((F.col("p_size") - 25).cast("short")).alias("xdr"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import tessera
+from tessera import cli
 from tessera.functions.codec import encode_chunk
 from tessera.sources.catalog import FILL, Catalog
 from tessera.sources.hdf5_format import HDF5File, Unsupported
@@ -140,7 +141,7 @@ def old_file(path):
     return time, sst
 
 
-def test_a_file_of_the_old_format(spark, tmp_path):
+def test_a_file_of_the_old_format(spark, tmp_path, capsys):
     path = tmp_path / "old.nc"
     time, sst = old_file(path)
     found = {(s.group_path, s.name): (s, c) for _, s, c in array_metadata(str(path))}
@@ -151,8 +152,10 @@ def test_a_file_of_the_old_format(spark, tmp_path):
     assert found["", "time"][0].attrs == {"units": "hours since 2000-01-01", "_UnlimitedDims": "time"}
     index = tessera.Index(Catalog.build(spark, array_metadata(str(path))))
     assert np.array_equal(index["g/sst"][...], sst) and index["lat"][...].tolist() == [10, 20, 30, 40, 50] and np.array_equal(index["time"][...], time)
-    files = spark.createDataFrame([(str(path),)], "file string")
-    assert Catalog.index_files(files, array_metadata).chunks.count() == 5 + 2 + 1
+    folder = str(tmp_path / "catalog")
+    assert cli.main(["index", str(path), folder]) == 0 and cli.main(["list", folder]) == 0 and cli.main(["list"]) == 2
+    assert Catalog.read(spark, folder).chunks.count() == 5 + 2 + 1
+    assert sorted(capsys.readouterr().out.split("\n"))[1:] == [f"{path} {n}" for n in ("/g/sst [3, 5]", "/lat [5]", "/time [3]")]
 
 
 def heap_and_tree(w, objects, record, offset_first):
