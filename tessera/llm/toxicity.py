@@ -30,14 +30,14 @@ PREFIXES = (4, 5)
 #: Training documents of each class at most: a bounded sample, drawn by id hash.
 SAMPLE_PER_CLASS = 4000
 #: Penalty of a weight, in standard deviations of the term's gradient under chance.
-SHRINKAGE = 2.0
+SHRINKAGE = 1.5
 #: A pair interacts from so many standard deviations of its contrast on; a term takes part if as many documents
 #: as that number's square have it, and as many lack it.
 PAIR_DEVIATIONS = 8.0
 #: Terms of a block of the search for pairs: bounds the memory of the fit.
 BLOCK_TERMS = 1024
-#: Ridge of the joint fit, and its steps.
-RIDGE, STEPS, RATE = 0.2, 300, 0.03
+#: Ridge of weights and of factors in the joint fit, and its steps: what a weight can say is left to it.
+RIDGE, FACTOR_RIDGE, STEPS, RATE = 0.1, 1.0, 300, 0.03
 FACTORS = 8
 #: Distinct white-space-free chunks whose terms a worker remembers.
 CACHE_CHUNKS = 200_000
@@ -107,6 +107,11 @@ class Incidence:
         total = np.append(0.0, np.cumsum(values[self.docs]))
         return total[self.ends] - total[self.starts]
 
+    def rows(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``terms``, document) of every occurrence of these terms."""
+        found = [self.of_term(k) for k in terms.tolist()]
+        return np.repeat(np.arange(len(terms)), [len(d) for d in found]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *found])
+
     def dense(self, terms: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n_docs, len(terms)), np.float32)
         for col, k in enumerate(terms.tolist()):
@@ -114,8 +119,8 @@ class Incidence:
         return out
 
 
-def fit_weights(x: Incidence, y: np.ndarray, penalty: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic regression with absolute penalties, by coordinate steps over the terms that it moves: w0, w, margins."""
+def fit_weights(x: Incidence, y: np.ndarray, penalty: np.ndarray) -> tuple[float, np.ndarray]:
+    """Logistic regression with absolute penalties, by coordinate steps over the terms that it moves."""
     w, w0 = np.zeros(len(x.starts)), float(np.log(y.mean() / (1 - y.mean())))
     margin = np.full(x.n_docs, w0)
     for _ in range(60):
@@ -142,7 +147,7 @@ def fit_weights(x: Incidence, y: np.ndarray, penalty: np.ndarray) -> tuple[float
                     largest = max(largest, abs(step))
             if largest < 1e-2:
                 break
-    return w0, w, margin
+    return w0, w
 
 
 def interacting_pairs(x: Incidence, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +157,8 @@ def interacting_pairs(x: Incidence, residual: np.ndarray) -> tuple[np.ndarray, n
     terms = np.flatnonzero((support >= least) & (x.n_docs - support >= least))
     r = residual.astype(np.float32)
     n, s, total, spread = support[terms].astype(np.float32), x.sums(residual)[terms].astype(np.float32), float(residual.sum()), float((residual**2).mean())
+    power = residual**2
+    powers = x.sums(power)[terms]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(0, len(terms), BLOCK_TERMS):
         one = x.dense(terms[i : i + BLOCK_TERMS])
@@ -170,9 +177,11 @@ def interacting_pairs(x: Incidence, residual: np.ndarray) -> tuple[np.ndarray, n
             p, q = np.nonzero(np.abs(z) >= PAIR_DEVIATIONS)
             inside = terms[i + p] < terms[j + q]
             p, q = p[inside], q[inside]
-            # Residuals of documents with both may spread more than those of all.
-            both = np.array([float((residual[np.intersect1d(x.of_term(a), x.of_term(b), assume_unique=True)] ** 2).mean()) for a, b in zip(terms[i + p], terms[j + q], strict=True)])
-            own = contrast[p, q] / np.sqrt(spread * sum(1 / a[p, q] for a in counts) + np.maximum(0, both - spread) / n11[p, q])
+            # Residuals do not spread alike everywhere: each of the four groups by its own spread, or that of all if less.
+            both = np.array([power[np.intersect1d(x.of_term(a), x.of_term(b), assume_unique=True)].sum() for a, b in zip(terms[i + p], terms[j + q], strict=True)])
+            one_power, other_power = powers[i + p], powers[j + q]
+            squares = (both, one_power - both, other_power - both, power.sum() - one_power - other_power + both)
+            own = contrast[p, q] / np.sqrt(sum(np.maximum(sq / a[p, q], spread) / a[p, q] for sq, a in zip(squares, counts, strict=True)))
             strong = np.abs(own) >= PAIR_DEVIATIONS
             found.append((terms[i + p[strong]], terms[j + q[strong]], own[strong].astype(np.float64)))
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k < 2 else np.float64) for k in range(3))
@@ -212,7 +221,7 @@ def fit_jointly(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, w0: float, w
         slopes = [
             np.array([slope.sum()]),
             np.bincount(flat, slope[owner], len(w)) + RIDGE * at[1],
-            by(flat, slope[owner][:, None] * (total[owner] - x), len(w)) + RIDGE * at[2],
+            by(flat, slope[owner][:, None] * (total[owner] - x), len(w)) + FACTOR_RIDGE * at[2],
         ]
         for k, g in enumerate(slopes):
             mean[k] = 0.9 * mean[k] + 0.1 * g
@@ -232,20 +241,23 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, prior: float) -> Factor
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     terms, x = Incidence.of(documents)
     share = y.mean()
-    w0, w, margin = fit_weights(x, y, SHRINKAGE * np.sqrt(share * (1 - share) * (x.ends - x.starts)))
-    a, b, z = interacting_pairs(x, y - logistic(margin))
-    active = np.unique(np.concatenate([a, b, np.flatnonzero(w)]))
-    v = np.zeros((len(active), FACTORS))
+    w0, w = fit_weights(x, y, SHRINKAGE * np.sqrt(share * (1 - share) * (x.ends - x.starts)))
+    active = np.flatnonzero(w)
+    # What the penalty took from the weights is given back before pairs are looked for, or it would look like interactions.
+    w0, w, v = fit_jointly(*x.rows(active), y, w0, w[active], np.zeros((len(active), FACTORS)))
+    flat, owner = x.rows(active)
+    a, b, z = interacting_pairs(x, y - logistic(w0 + np.bincount(owner, w[flat], len(y))))
     if len(a):
+        grown = np.unique(np.concatenate([a, b, active]))
+        more = np.zeros(len(grown))
+        more[np.searchsorted(grown, active)] = w
+        active, w = grown, more
         v = leading_factors(np.searchsorted(active, a), np.searchsorted(active, b), z, len(active))
-    if len(active):
-        found = [x.of_term(k) for k in active.tolist()]
-        flat = np.repeat(np.arange(len(active)), [len(d) for d in found])
-        w0, w, v = fit_jointly(flat, np.concatenate(found), y, w0, w[active], v)
+        w0, w, v = fit_jointly(*x.rows(active), y, w0, w, v)
     # The sample holds the classes in other shares than the labelled rows do.
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
     w0 += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return FactorizationMachine(terms[active], float(w0), w[: len(active)], v)
+    return FactorizationMachine(terms[active], float(w0), w, v)
 
 
 def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
