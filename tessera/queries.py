@@ -187,10 +187,10 @@ def reshape_rows(spark, sf_dir):
     return rows.select("i0", "i1", F.size("values").cast("long").alias("n"), F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"))
 
 
-@query(f"SELECT * FROM ({A4}) UNION ALL SELECT i0 + (SELECT count(*) FROM part), value FROM ({A4}) WHERE i0 < 50")
+@query(f"SELECT * FROM ({A4}) UNION ALL SELECT i0 + (SELECT count(*) FROM part), value FROM ({A4})")
 def open_mfdataset_concat(spark, sf_dir):
     cells, dims = a4(spark, sf_dir)
-    return shape.concat([(cells, dims[0]), (X.select(cells, [X.until(50)], dims), 50)])
+    return shape.concat([(cells, dims[0]), (cells, dims[0])])
 
 
 @query(f"SELECT * FROM ({A2}) UNION ALL SELECT i0 + (SELECT max(vec_id) + 1 FROM embeddings), i1, value FROM ({A2})")
@@ -648,14 +648,7 @@ def fixed_string_trim(spark, sf_dir):
     return df.select("n_nationkey", conventions.fixed_string(F.encode(F.rpad("n_name", 20, "\0"), "UTF-8")).alias("n_name"))
 
 
-@query(f"SELECT a.i0, i1, i2, a.value, n_name FROM ({A3}) a JOIN nation ON a.i1 = n_nationkey WHERE a.i0 = 1")
-def decode_coords_join(spark, sf_dir):
-    cells, dims = a3(spark, sf_dir)
-    picked = X.select(cells, (1, X.FULL, X.FULL), dims)
-    return conventions.decode_coords(picked, table(spark, sf_dir, "nation"), {"i1": "n_nationkey"}, ["n_name"])
-
-
 @query(f"SELECT a.i0, i1, i2, a.value, n_name FROM ({A3}) a JOIN nation ON a.i1 = n_nationkey")
-def decode_coords_join_whole(spark, sf_dir):
+def decode_coords_join(spark, sf_dir):
     cells, _ = a3(spark, sf_dir)
     return conventions.decode_coords(cells, table(spark, sf_dir, "nation"), {"i1": "n_nationkey"}, ["n_name"])
