@@ -27,6 +27,8 @@ def fixture_rows():
     for k in (1, 1, 2, 3):  # copies, exact and near
         docs.append([len(docs), docs[k][1], docs[k][2], "s9"])
     docs.append([len(docs), docs[5][1].upper(), "en", "s1"])
+    docs.append([len(docs), " ".join(rng.choice(vocab["en"]) for _ in range(12)), "en", "tiny"])  # a source that the mix cuts
+    docs.append([len(docs), "кот собака дом река стол лампа бумага свет камень зелёный " * 4, None, "s2"])  # in no language that is learned
     for text in ("12 34 !!", "", None):
         docs.append([len(docs), text, "en", None])
     return [(*d, len(d[1] or "")) for d in docs], labels
@@ -39,7 +41,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
     got = corpus_pipeline.run(spark, sf_dir).collect()
     kept = [r for r in rows if "idiotish" not in (r[1] or "").lower()]
-    kept = [r for r in kept if any(c.isalpha() for c in r[1] or "")]
+    kept = [r for r in kept if any(c.isalpha() for c in r[1] or "") and "собака" not in r[1]]
     prints = [brute_print(r[1]) for r in kept]
     root = union_find(len(kept), [(a, b) for a in range(len(kept)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= simhash.MAX_BITS])
     kept = [r for k, r in enumerate(kept) if root[k] == k]
@@ -47,11 +49,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in kept:
         size[r[3]] = size.get(r[3], 0) + len(r[1].split())
     weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(size))}
-    level = sum(size.values()) / sum(weight.values())
-    assert all(level * weight[s] <= 3 * size[s] for s in size)  # no source is cut in this fixture
+    free, left = set(size), float(sum(size.values()))
+    while cut := {s for s in free if left / sum(weight[x] for x in free) * weight[s] > 3 * size[s]}:
+        free -= cut
+        left -= sum(3 * size[s] for s in cut)
+    assert size.keys() - free == {"tiny"}
+    level = left / sum(weight[s] for s in free)
     lib, want = Tokenizer.from_file(queries.VOCABULARY), []
     for r in kept:
-        rate = level * weight[r[3]] / size[r[3]]
+        rate = level * weight[r[3]] / size[r[3]] if r[3] in free else 3
         draw = int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:13], 16) / 16**13
         ids = lib.encode(r[1], add_special_tokens=False).ids
         want += [(r[0], tuple(ids), lib.decode(ids, skip_special_tokens=False))] * (int(rate) + (draw < rate - int(rate)))
