@@ -32,7 +32,7 @@ CACHE_CHUNKS = 130_000
 
 
 #: (state, token) pairs whose arcs the automaton's transition table holds at most; it is emptied when full.
-TABLE_ARCS = 1 << 20
+TABLE_ARCS = 1 << 18
 
 
 class Remembered(dict):

@@ -212,7 +212,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct("__id", "__rows")).alias("__first")
     chosen = per_id.filter("__id IS NOT NULL").groupBy("__component").agg(first).select("__first.*")
     chosen = materialize(chosen, "simhash-kept")
-    single = docs.join(chosen.filter("__rows = 1"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    # Sorted on both sides at every size: the kept ids grow with the documents.
+    single = docs.join(chosen.filter("__rows = 1").hint("merge"), F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
     repeated = chosen.filter("__rows > 1")
     if not repeated.take(1):
         return single

@@ -35,7 +35,7 @@ SHRINKAGE = 1.5
 #: as that number's square have it, and as many lack it.
 PAIR_DEVIATIONS = 8.0
 #: Terms of a block of the search for pairs: bounds the memory of the fit.
-BLOCK_TERMS = 1024
+BLOCK_TERMS = 512
 #: Ridge of weights and of factors in the joint fit, and its steps: what a weight can say is left to it.
 RIDGE, FACTOR_RIDGE, STEPS, RATE = 0.1, 1.0, 300, 0.03
 FACTORS = 8
