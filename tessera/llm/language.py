@@ -37,6 +37,8 @@ CALIBRATION = 8
 MARGIN, LEAST_LETTERS = 2.0, 100
 #: A text is entered every ``STRIDE`` letters, by walks that begin ``LEAD`` letters before.
 STRIDE, LEAD = 1024, 48
+#: Letters of texts that are parsed together, about.
+BATCH_LETTERS = 1 << 22
 UNDETERMINED = "und"
 
 
@@ -301,6 +303,20 @@ def parse(texts: list[str | None], model: Languages) -> tuple[list[str], np.ndar
     return [model.names[b] if ok else UNDETERMINED for b, ok in zip(best, has_letter, strict=True)], np.clip(score, 0, 1), known
 
 
+def by_length(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in groups of some ``BATCH_LETTERS``, or one text if it is longer: bounds a worker's memory."""
+    group: list[str | None] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text or "") > BATCH_LETTERS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
+
+
 def train(docs: DataFrame, trainable: Column, lang_col: str = "lang", text_col: str = "text") -> Languages:
     """Automata from the rows for which ``trainable`` holds, with a language, an id and a text that are not null.
 
@@ -348,7 +364,8 @@ def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1024):
-            names, score, known = parse(part.column(text_col).to_pylist(), shared.value)
-            yield replace_columns(part, {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score), "recognised": pa.array(known)})
+            found = [parse(texts, shared.value) for texts in by_length(part.column(text_col).to_pylist())]
+            score, known = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+            yield replace_columns(part, {"lang_pred": pa.array([n for f in found for n in f[0]], pa.string()), "score": pa.array(score), "recognised": pa.array(known)})
 
     return map_batches(docs, run, replaced_schema(docs, fields))

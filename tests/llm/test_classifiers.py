@@ -183,6 +183,13 @@ def test_languages_of_disjoint_letters_are_told_apart_and_need_little_memory():
     assert all(m.nbytes < 100 * m.letters for m in model.automata)
 
 
+def test_long_texts_are_parsed_in_groups(monkeypatch):
+    monkeypatch.setattr(language, "BATCH_LETTERS", 10)
+    texts = ["abc", None, "defgh", "ij", "x" * 30, "", "kl", "mnopqrstu"]
+    groups = list(language.by_length(texts))
+    assert [t for g in groups for t in g] == texts and [len(g) for g in groups] == [4, 1, 2, 1] and list(language.by_length([])) == []
+
+
 def test_a_language_that_was_not_learned_is_not_recognised():
     rng = np.random.default_rng(4)
 
